@@ -189,12 +189,15 @@ def _fit_class(spans: _Spans, y: np.ndarray) -> tuple[np.ndarray, float]:
     chosen = spans.counts(np.array(positive))
     score = np.zeros(len(spans.texts))
     for _ in range(3):
-        ratio = _ratio(spans.support(chosen), below, chosen.sum(), n_clean)
-        score = spans.score(ratio)
+        support = spans.support(chosen)
+        # a feature seen in one positive document alone says nothing for it
+        score = spans.score(_ratio(np.maximum(support - 1, 0), below, chosen.sum(), n_clean))
         worst = np.array([spans.of[d][np.argmax(score[spans.of[d]])] for d in positive])
         # a document without any sentence near the usual score may be labelled by mistake
-        sure = score[worst] > 0.3 * np.median(score[worst])
+        sure = score[worst] > max(0.0, 0.3 * np.median(score[worst]))
+        sure |= not sure.any()
         chosen = np.bincount(worst[sure], minlength=len(score)).astype(float)
+    ratio = _ratio(spans.support(chosen), below, chosen.sum(), n_clean)
     negative = np.flatnonzero((clean > 0) & (chosen == 0))
     by_score = negative[np.argsort(-score[negative], kind="stable")]
     rest = by_score[HARD:]
