@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
+from collections.abc import Callable
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,7 +23,8 @@ TYPES = {"item": "string", "time": "string", "quantity": "double", "string": "st
 
 @F.arrow_udf(T.StringType())
 def nfc(text: pa.Array) -> pa.Array:
-    return pc.utf8_normalize(text.cast(pa.string()), "NFC")
+    # pyarrow's own NFC leaves text decomposed
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
 def trimmed(text: Column) -> Column:
@@ -35,6 +38,11 @@ def is_no_value(text: Column) -> Column:
     return text.isNull() | plain.isin(NO_VALUE_WORDS) | plain.startswith("_:")
 
 
+def _with(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once per row, however often f names it."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 _NUMBER = rf"^{SPACE}*([+-]?)([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{{1,6}}))?(?:\^\^.*)?{SPACE}*$"
 
 
@@ -44,14 +52,17 @@ def number_key(text: Column) -> Column:
     A comma groups thousands, `^^type` may follow, exponents are read. The key is sign, digits
     without zeros at either end, and the power of ten.
     """
-    part = lambda i: F.regexp_extract(text, _NUMBER, i)
-    whole, frac = F.replace(part(2), F.lit(",")), part(3)
-    digits = F.regexp_replace(F.concat(whole, frac), "^0+", "")
-    bare = F.regexp_replace(digits, "0+$", "")
-    power = F.coalesce(part(4).try_cast("int"), F.lit(0)) - F.length(frac) + F.length(digits) - F.length(bare)
-    sign = F.when(part(1) == "-", "-").otherwise("")
-    key = F.when(bare == "", "0").otherwise(F.concat(sign, bare, F.lit("e"), power.cast("string")))
-    return F.when(text.rlike(_NUMBER), key)
+    parts = F.struct(*[F.regexp_extract(text, _NUMBER, i).alias(n) for i, n in ((1, "sign"), (2, "whole"), (3, "frac"), (4, "power"))])
+
+    def scaled(p: Column) -> Column:
+        return F.struct(p["sign"].alias("sign"), F.regexp_replace(F.concat(F.replace(p["whole"], F.lit(",")), p["frac"]), "^0+", "").alias("digits"), (F.coalesce(p["power"].try_cast("int"), F.lit(0)) - F.length(p["frac"])).alias("power"))
+
+    def key(p: Column) -> Column:
+        bare = F.regexp_replace(p["digits"], "0+$", "")
+        power = p["power"] + F.length(p["digits"]) - F.length(bare)
+        return F.when(bare == "", "0").otherwise(F.concat(F.when(p["sign"] == "-", "-").otherwise(""), bare, F.lit("e"), power.cast("string")))
+
+    return F.when(text.rlike(_NUMBER), _with(_with(parts, scaled), key))
 
 
 _STAMP = rf"^{SPACE}*([+-]?)([0-9]{{1,9}})-([0-9]{{2}})-([0-9]{{2}})(?:[T ][0-9:.]*Z?)?(?:\^\^.*)?{SPACE}*$"
@@ -70,12 +81,16 @@ def time_key(text: Column) -> Column:
     stamp = F.struct(F.when(get(_STAMP, 1) == "-", "-").otherwise("+").alias("s"), F.regexp_replace(get(_STAMP, 2), "^0+", "").alias("y"), num(F.nullif(get(_STAMP, 3), F.lit(""))).alias("m"), num(F.nullif(get(_STAMP, 4), F.lit(""))).alias("d"))
     worded = lambda rx, m, d: F.struct(F.lit("+").alias("s"), F.regexp_replace(get(rx, 3), "^0+", "").alias("y"), name(get(rx, m)).alias("m"), num(F.nullif(get(rx, d), F.lit(""))).alias("d"))
     v = F.when(text.rlike(_STAMP), stamp).when(text.rlike(_DAY_FIRST), worded(_DAY_FIRST, 2, 1)).when(text.rlike(_MONTH_FIRST), worded(_MONTH_FIRST, 1, 2))
-    year = v["y"].try_cast("int")
-    leap = (v["s"] == "-") | ((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)))
-    last = F.when(v["m"].isin(4, 6, 9, 11), 30).when(v["m"] == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
-    worded_day = ~text.rlike(_STAMP) & ((v["m"] == 0) | (v["d"] == 0))
-    good = (v["y"] != "") & (v["m"] <= 12) & (v["d"] <= last) & ~worded_day
-    return F.when(good, F.concat(v["s"], F.when(F.length(v["y"]) < 4, F.lpad(v["y"], 4, "0")).otherwise(v["y"]), F.lit("-"), F.lpad(v["m"].cast("string"), 2, "0"), F.lit("-"), F.lpad(v["d"].cast("string"), 2, "0")))
+    worded_day = ~text.rlike(_STAMP)
+
+    def key(v: Column) -> Column:
+        year = v["y"].try_cast("int")
+        leap = (v["s"] == "-") | ((year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0)))
+        last = F.when(v["m"].isin(4, 6, 9, 11), 30).when(v["m"] == 2, F.when(leap, 29).otherwise(28)).otherwise(31)
+        good = (v["y"] != "") & (v["m"] <= 12) & (v["d"] <= last) & ~(worded_day & ((v["m"] == 0) | (v["d"] == 0)))
+        return F.when(good, F.concat(v["s"], F.when(F.length(v["y"]) < 4, F.lpad(v["y"], 4, "0")).otherwise(v["y"]), F.lit("-"), F.lpad(v["m"].cast("string"), 2, "0"), F.lit("-"), F.lpad(v["d"].cast("string"), 2, "0")))
+
+    return _with(v, key)
 
 
 def value_key(kind: Column, text: Column) -> Column:

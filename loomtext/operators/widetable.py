@@ -1,46 +1,60 @@
 """Attribute-value rows into wide tables by column-block pivoting.
 
-Facts are first made distinct and gathered into lists by (entity, attribute, salt), combined
-before the shuffle, so an entity that holds a third of all rows is spread over the salts. One
-exchange then puts the cells on their entity. The attributes are divided into blocks; each block
-is pivoted over that one partitioning and the blocks are joined on the entity, which needs no
-further exchange (Spark reuses the first).
+The attributes are divided into blocks. Each block's facts are gathered by (entity, part,
+attribute, salt), combined before the shuffle, so an entity that holds a third of all rows is
+spread over the salts, and then put on their (entity, part). There the block is pivoted. All
+blocks are partitioned alike, and so are the distinct entities to which they are joined, so the
+joins need no further exchange.
+
+Parts bound the rows: only a list of more distinct values than a limit has more than one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomtext.workspace import Workspace
+
 SALTS = 16
 
 
-def cells(facts: DataFrame, single: Column, list_limit: int) -> DataFrame:
-    """(entity, part, attr, n, keys) of facts (entity, attr, key), on the exchange by entity.
+def _parted(facts: DataFrame, lists: Sequence[str], limit: int, work: Workspace) -> DataFrame:
+    """facts with `part` where a cell of `lists` has more than limit distinct keys, which are then spread over several parts; else without.
 
-    n is the number of distinct keys. Cells where `single` holds keep their least key only. A
-    list of more than list_limit keys goes on in further parts of the entity, so that no row
-    has to hold an unbounded list; every other cell is in part 0.
+    Cells with so many rows are counted first; only for those are the distinct keys counted.
     """
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int")
-    sets = facts.groupBy("entity", "attr", salt.alias("salt")).agg(F.collect_set("key").alias("keys"))
-    sets = sets.select("entity", "attr", "salt", F.size("keys").cast("long").alias("n"), F.when(single, F.array(F.array_min("keys"))).otherwise(F.array_sort("keys")).alias("keys"))
-    placed = sets.repartition("entity")
-    total = placed.groupBy("entity", "attr").agg(F.sum("n").alias("n"), F.collect_list(F.struct("salt", "keys")).alias("sets"))
-    # the sets of a cell are cut into parts at salt borders
-    size = F.aggregate("sets", F.lit(0), lambda a, x: a + F.size(x["keys"]))
-    n_parts = F.greatest(F.lit(1), F.ceil(size / F.lit(list_limit))).cast("int")
-    total = total.withColumn("n_parts", n_parts)
-    split = total.select("entity", "attr", "n", "n_parts", "sets", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"))
-    here = F.filter("sets", lambda x: F.pmod(x["salt"], F.col("n_parts")) == F.col("part"))
-    keys = F.array_sort(F.flatten(F.transform(here, lambda x: x["keys"])))
-    return split.select("entity", "part", "attr", "n", F.when(single, F.slice(keys, 1, 1)).otherwise(keys).alias("keys"))
+    if not lists:
+        return facts
+    rows = facts.where(F.col("attr").isin(list(lists))).groupBy("entity", "attr").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    many, n = work.measure(rows.select("entity", "attr"), "many", n=F.lit(True))
+    if not n["n"]:
+        return facts
+    distinct = facts.join(many, ["entity", "attr"]).groupBy("entity", "attr").agg(F.count_distinct("key").alias("n")).where(F.col("n") > limit)
+    long, n = work.measure(distinct.select("entity", "attr", F.ceil(F.col("n") / limit).cast("int").alias("n_parts")), "long", n=F.lit(True))
+    if not n["n"]:
+        return facts
+    return facts.join(long, ["entity", "attr"], "left").withColumn("part", F.when(F.col("n_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(1), "key"), F.col("n_parts")).cast("int"))).drop("n_parts")
+
+
+def _block(facts: DataFrame, block: Sequence[tuple[str, str, bool]], typed: dict[str, Callable[[Column], Column]], on: list[str], conflicts: str) -> DataFrame:
+    """(on..., attributes..., conflicts) of facts (on..., attr, key) of one block."""
+    names = [a for a, _, one in block if one]
+    single = F.col("attr").isin(names) if names else F.lit(False)
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
+    sets = facts.groupBy(*on, "attr", salt.alias("salt")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.collect_set(F.when(~single, F.col("key"))).alias("keys"))
+    cells = sets.repartition(*on).groupBy(*on, "attr").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("keys")).alias("keys"))
+    cell = F.struct("attr", F.struct("lo", F.array_sort("keys").alias("keys")).alias("v"))
+    rows = cells.groupBy(*on).agg(F.map_from_entries(F.collect_list(cell)).alias("m"), F.collect_list(F.when(single & (F.col("lo") != F.col("hi")), F.col("attr"))).alias(conflicts))
+    at = lambda a: F.try_element_at("m", F.lit(a))
+    columns = [(typed[kind](at(a)["lo"]) if one else F.transform(at(a)["keys"], typed[kind])).alias(a) for a, kind, one in block]
+    return rows.select(*on, *columns, conflicts)
 
 
-def pivot_wide(facts: DataFrame, attributes: Sequence[tuple[str, str, bool]], typed: dict[str, Column | object], block_size: int = 256, list_limit: int = 1_000_000) -> DataFrame:
+def pivot_wide(facts: DataFrame, attributes: Sequence[tuple[str, str, bool]], typed: dict[str, Callable[[Column], Column]], block_size: int = 256, list_limit: int = 1_000_000) -> DataFrame:
     """One row per entity with a column per attribute, from facts (entity, attr, key).
 
     attributes: (name, type, single-valued); typed: by type a function from the key's Column to
@@ -50,23 +64,16 @@ def pivot_wide(facts: DataFrame, attributes: Sequence[tuple[str, str, bool]], ty
     part 0 carry on lists of more than list_limit keys. An empty table gives no rows.
     """
     attributes = list(attributes)
-    single_names = [a for a, _, one in attributes if one]
-    single = F.col("attr").isin(single_names) if single_names else F.lit(False)
-    wanted = facts.where(F.col("entity").isNotNull() & F.col("key").isNotNull() & F.col("attr").isin([a for a, _, _ in attributes]))
-    long = cells(wanted.select("entity", "attr", "key"), single, list_limit)
-    blocks = []
-    for at in range(0, len(attributes), block_size):
-        block = attributes[at : at + block_size]
-        inside = long if len(attributes) <= block_size else long.where(F.col("attr").isin([a for a, _, _ in block]))
-        got = inside.groupBy("entity", "part").agg(
-            F.map_from_entries(F.collect_list(F.struct("attr", "keys"))).alias("m"),
-            F.array_sort(F.collect_list(F.when(single & (F.col("n") > 1), F.col("attr")))).alias(f"conflicts_{at}"),
-        )
-        columns = []
-        for name, kind, one in block:
-            keys = F.try_element_at("m", F.lit(name))
-            columns.append((typed[kind](F.get(keys, F.lit(0))) if one else F.transform(keys, typed[kind])).alias(name))
-        blocks.append(got.select("entity", "part", *columns, f"conflicts_{at}"))
-    wide = reduce(lambda a, b: a.join(b, ["entity", "part"], "full"), blocks)
-    every = F.concat(*[F.coalesce(f"conflicts_{at}", F.array().cast("array<string>")) for at in range(0, len(attributes), block_size)])
-    return wide.select("entity", "part", *[f"`{a}`" for a, _, _ in attributes], F.array_sort(every).alias("conflicts"))
+    work = Workspace(facts.sparkSession, "wide")
+    wanted = facts.where(F.col("entity").isNotNull() & F.col("key").isNotNull() & F.col("attr").isin([a for a, _, _ in attributes])).select("entity", "attr", "key")
+    groups = [attributes[at : at + block_size] for at in range(0, len(attributes), block_size)]
+    if len(groups) > 1:
+        # the facts are read and typed once; each block reads its own folder of them
+        number = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for a, _, _ in g for x in (a, i)])
+        wanted = work.keep(wanted.withColumn("block", F.element_at(number, F.col("attr"))), "facts", by=("block",))
+    parted = _parted(wanted, [a for a, _, one in attributes if not one], list_limit, work)
+    on = ["entity", "part"] if "part" in parted.columns else ["entity"]
+    blocks = [_block(parted if len(groups) == 1 else parted.where(F.col("block") == i), g, typed, on, f"conflicts_{i}") for i, g in enumerate(groups)]
+    wide = blocks[0] if len(blocks) == 1 else reduce(lambda a, b: a.join(b, on, "left"), blocks, parted.select(*on).distinct())
+    every = F.concat(*[F.coalesce(f"conflicts_{i}", F.array().cast("array<string>")) for i in range(len(groups))])
+    return wide.select("entity", (F.col("part") if "part" in on else F.lit(0)).alias("part"), *[f"`{a}`" for a, _, _ in attributes], F.array_sort(every).alias("conflicts"))

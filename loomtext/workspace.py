@@ -42,11 +42,11 @@ class Workspace:
         self._fs, self._path = fs, jvm.org.apache.hadoop.fs.Path
         self._n = 0
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Writes df once and returns the written table."""
+    def keep(self, df: DataFrame, name: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+        """Writes df once, in folders by some columns if wished, and returns the written table."""
         self._n += 1
         path = f"{self.root}/{self._n:04d}-{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def measure(self, df: DataFrame, name: str = "t", **counts: Column) -> tuple[DataFrame, dict]:
