@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: White space in Unicode, and the same class for SQL engines without a property for it.
-SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# White_Space of Unicode.
+WHITE_SPACE = "".join(map(chr, [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def kb_id(text: Column, letter: str) -> Column:
@@ -14,5 +19,10 @@ def kb_id(text: Column, letter: str) -> Column:
 
     The id is the last part after `/`, `:` or `#`. Null stays null.
     """
-    digits = F.regexp_extract(text, rf"(?i)^(?:.*[/:#])?{SPACE}*{letter}([0-9]+){SPACE}*$", 1)
-    return F.when(digits != "", F.concat(F.lit(letter), digits))
+    last = trimmed(text)
+    for mark in "/:#":
+        last = F.substring_index(last, mark, -1)
+    last = F.ltrim(last)
+    digits = F.substring(last, F.lit(2), F.length(last))
+    found = F.substring(last, 1, 1).isin(letter.upper(), letter.lower()) & digits.rlike("^[0-9]+$")
+    return F.when(found, F.concat(F.lit(letter), digits))

@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtext.functions.ids import SPACE, kb_id
+from loomtext.functions.ids import kb_id, trimmed
 
 # Words that say there is no value.
 NO_VALUE_WORDS = ["", "-", "--", "?", "n/a", "na", "nan", "nil", "none", "novalue", "null", "somevalue", "unknown"]
@@ -27,11 +27,6 @@ def nfc(text: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in text.to_pylist()], pa.string())
 
 
-def trimmed(text: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
-
-
 def is_no_value(text: Column) -> Column:
     """Null, empty, a word for no value, or a blank node."""
     plain = F.lower(trimmed(text))
@@ -43,7 +38,7 @@ def _with(value: Column, f: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
 
 
-_NUMBER = rf"^{SPACE}*([+-]?)([0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{{1,6}}))?(?:\^\^.*)?{SPACE}*$"
+_NUMBER = r"^([+-]?)([0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]{1,6}))?(?:\^\^.*)?$"
 
 
 def number_key(text: Column) -> Column:
@@ -52,6 +47,7 @@ def number_key(text: Column) -> Column:
     A comma groups thousands, `^^type` may follow, exponents are read. The key is sign, digits
     without zeros at either end, and the power of ten.
     """
+    text = trimmed(text)
     parts = F.struct(*[F.regexp_extract(text, _NUMBER, i).alias(n) for i, n in ((1, "sign"), (2, "whole"), (3, "frac"), (4, "power"))])
 
     def scaled(p: Column) -> Column:
@@ -65,9 +61,9 @@ def number_key(text: Column) -> Column:
     return F.when(text.rlike(_NUMBER), _with(_with(parts, scaled), key))
 
 
-_STAMP = rf"^{SPACE}*([+-]?)([0-9]{{1,9}})-([0-9]{{2}})-([0-9]{{2}})(?:[T ][0-9:.]*Z?)?(?:\^\^.*)?{SPACE}*$"
-_DAY_FIRST = rf"^{SPACE}*([0-9]{{1,2}})\.? +([A-Za-z]+),? +([0-9]{{1,9}}){SPACE}*$"
-_MONTH_FIRST = rf"^{SPACE}*([A-Za-z]+) +([0-9]{{1,2}}),? +([0-9]{{1,9}}){SPACE}*$"
+_STAMP = r"^([+-]?)([0-9]{1,9})-([0-9]{2})-([0-9]{2})(?:[T ][0-9:.]*Z?)?(?:\^\^.*)?$"
+_DAY_FIRST = r"^([0-9]{1,2})\.? +([A-Za-z]+),? +([0-9]{1,9})$"
+_MONTH_FIRST = r"^([A-Za-z]+) +([0-9]{1,2}),? +([0-9]{1,9})$"
 
 
 def time_key(text: Column) -> Column:
@@ -75,6 +71,7 @@ def time_key(text: Column) -> Column:
 
     Month and day 00 stay. There is no year 0, no month 13, and no day that the month hasn't.
     """
+    text = trimmed(text)
     name = lambda c: F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.lower(c)).cast("int")
     get = lambda rx, i: F.regexp_extract(text, rx, i)
     num = lambda c: c.cast("int")

@@ -22,14 +22,14 @@ from loomtext.workspace import Workspace
 SALTS = 16
 
 
-def _parted(facts: DataFrame, lists: Sequence[str], limit: int, work: Workspace) -> DataFrame:
+def _parted(facts: DataFrame, rows: DataFrame, lists: Sequence[str], limit: int, work: Workspace) -> DataFrame:
     """facts with `part` where a cell of `lists` has more than limit distinct keys, which are then spread over several parts; else without.
 
-    Cells with so many rows are counted first; only for those are the distinct keys counted.
+    Cells with so many `rows` (facts before their keys are worked out) are found first; only for those are the distinct keys counted.
     """
     if not lists:
         return facts
-    rows = facts.where(F.col("attr").isin(list(lists))).groupBy("entity", "attr").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    rows = rows.where(F.col("attr").isin(list(lists))).groupBy("entity", "attr").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     many, n = work.measure(rows.select("entity", "attr"), "many", n=F.lit(True))
     if not n["n"]:
         return facts
@@ -71,7 +71,7 @@ def pivot_wide(facts: DataFrame, attributes: Sequence[tuple[str, str, bool]], ty
         # the facts are read and typed once; each block reads its own folder of them
         number = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for a, _, _ in g for x in (a, i)])
         wanted = work.keep(wanted.withColumn("block", F.element_at(number, F.col("attr"))), "facts", by=("block",))
-    parted = _parted(wanted, [a for a, _, one in attributes if not one], list_limit, work)
+    parted = _parted(wanted, facts.where(F.col("entity").isNotNull()), [a for a, _, one in attributes if not one], list_limit, work)
     on = ["entity", "part"] if "part" in parted.columns else ["entity"]
     blocks = [_block(parted if len(groups) == 1 else parted.where(F.col("block") == i), g, typed, on, f"conflicts_{i}") for i, g in enumerate(groups)]
     wide = blocks[0] if len(blocks) == 1 else reduce(lambda a, b: a.join(b, on, "left"), blocks, parted.select(*on).distinct())
