@@ -9,8 +9,11 @@
 Every removal is recorded with its links to parents, so going through the rounds backwards
 gives each node the paths of its parents, extended. Chains of any length shrink by a third in a
 round, so deep hierarchies take logarithmically many rounds. What resists both steps holds the
-cycles and the nodes above them; its strongly connected components are found by colouring, and
-the ids kept in links within a component are the remaining nodes of the cycles. Cycle nodes then
+cycles and the nodes above them. `cycle_nodes` thins it further, as only its cycles are asked
+for: nodes without a way in or out go, and a node with a single link in (or out) is merged into
+the node at its other end, its id kept in the links that take over. A link of a node to itself is
+a cycle. The few nodes that have several links both ways are coloured to find their strongly
+connected components, and the ids kept in links within one lie on cycles too. Cycle nodes then
 become roots of their own, and the contraction goes on to the end.
 
 Nothing is collected but counts. Each round writes its table into the shared folder. A parent
@@ -149,9 +152,51 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     return out
 
 
+def _thin(edges: DataFrame, turn: int) -> DataFrame:
+    """(a, b, seg, single) of links (a, b, seg) after one round: trimmed, and nodes with one link in, or out in odd turns, merged.
+
+    Of neighbours only one goes in a round: that whose coin is 1 while the other's is 0. single: the
+    link's end could be merged.
+    """
+    forward = turn % 2 == 0
+    e = edges.where("a <> b").select(F.col("a" if forward else "b").alias("a"), F.col("b" if forward else "a").alias("b"), "seg")
+    coin = lambda x: F.pmod(F.xxhash64(x, F.lit(turn)), F.lit(2))
+    ways = e.groupBy("b").agg(F.count("*").alias("n"), F.min(F.struct("a", "seg")).alias("f")).select(F.col("b").alias("id"), (F.col("n") == 1).alias("one"), F.col("f.a").alias("u"), F.col("f.seg").alias("useg"))
+    ways = ways.withColumn("goes", F.col("one") & (coin(F.col("id")) == 1) & (coin(F.col("u")) == 0))
+    at_a = ways.select(F.col("id").alias("a"), F.col("goes").alias("goes_a"), "u", "useg")
+    at_b = ways.select(F.col("id").alias("b"), "one", F.col("goes").alias("goes_b"))
+    kept = e.join(at_a, "a").join(at_b, "b").join(e.select(F.col("a").alias("b")).distinct(), "b", "left_semi").where("not goes_b")
+    a = F.when(F.col("goes_a"), F.col("u")).otherwise(F.col("a"))
+    seg = F.when(F.col("goes_a"), F.concat("useg", F.array("a"), "seg")).otherwise(F.col("seg"))
+    out = kept.select(a.alias("a"), "b", seg.alias("seg"), "one").groupBy("a", "b").agg(F.array_distinct(F.flatten(F.collect_list("seg"))).alias("seg"), F.bool_or("one").alias("single"))
+    return out.select(F.col("a" if forward else "b").alias("a"), F.col("b" if forward else "a").alias("b"), "seg", "single")
+
+
+def cycle_nodes(edges: DataFrame, work: Workspace) -> DataFrame:
+    """(id): the nodes on cycles of links (a, b, seg), those kept in seg included."""
+    table, n = work.measure(edges.select("a", "b", "seg"), "links", size=F.col("a") != F.col("b"))
+    loops, turn, still = [table.where("a = b")], 0, 0
+    while n["size"] and still < 2:
+        before = n["size"]
+        table, n = work.measure(_thin(table, turn), "thin", size=F.col("a") != F.col("b"), single=F.col("single") & (F.col("a") != F.col("b")))
+        loops.append(table.where("a = b").select("a", "b", "seg"))
+        still = still + 1 if n["size"] == before and not n["single"] else 0
+        turn += 1
+    found = edges.sparkSession.createDataFrame([], "id string")
+    for t in loops:
+        found = found.unionByName(t.select(F.explode(F.concat(F.array("a"), "seg")).alias("id")))
+    if n["size"]:
+        core = table.where("a <> b")
+        comp = components(core.select("a", "b"), work)
+        ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+        within = core.join(ca, "a").join(cb, "b").where("ca = cb").select(F.explode("seg").alias("id"))
+        found = found.unionByName(comp.select("id")).unionByName(within)
+    return work.keep(found.distinct(), "cyclic")
+
+
 @dataclass
 class Hierarchy:
-    """nodes (id, up, missing), cyclic (id, comp), rounds of the whole contraction, and the workspace."""
+    """nodes (id, up, missing), cyclic (id), rounds of the whole contraction, and the workspace."""
 
     nodes: DataFrame
     cyclic: DataFrame
@@ -209,14 +254,11 @@ def hierarchy(df: DataFrame, node: str, parents: str, whole: bool = True) -> Hie
     first = contract(nodes, work)
     spark = df.sparkSession
     if not first.left:
-        return Hierarchy(nodes, spark.createDataFrame([], "id string, comp string"), first.rounds, work)
+        return Hierarchy(nodes, spark.createDataFrame([], "id string"), first.rounds, work)
     flat = first.core.select("id", F.explode("up").alias("u")).select(F.col("id").alias("a"), F.col("u.p").alias("b"), F.col("u.seg").alias("seg"))
-    comp = components(flat.select("a", "b"), work)
-    ca, cb = comp.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comp.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    within = flat.join(ca, "a").join(cb, "b").where("ca = cb").select(F.explode("seg").alias("id"), F.col("ca").alias("comp"))
-    cyclic = work.keep(comp.unionByName(within).distinct(), "cyclic")
+    cyclic = cycle_nodes(flat, work)
     if not whole:
         return Hierarchy(nodes, cyclic, first.rounds, work)
-    cut = first.core.join(comp.select("id", F.lit(1).alias("cyc")), "id", "left").select("id", F.when(F.col("cyc") == 1, F.array().cast(UP)).otherwise(F.col("up")).alias("up"))
+    cut = first.core.join(cyclic.select("id", F.lit(1).alias("cyc")), "id", "left").select("id", F.when(F.col("cyc") == 1, F.array().cast(UP)).otherwise(F.col("up")).alias("up"))
     rest = contract(work.keep(cut, "cut"), work, first_turn=len(first.rounds) + 1)
     return Hierarchy(nodes, cyclic, first.rounds + rest.rounds, work)
