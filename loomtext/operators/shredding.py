@@ -122,7 +122,8 @@ def shred(payload: pa.Array) -> pa.Array:
 def occurrences(df: DataFrame, payload: str, keep: dict[str, Column]) -> DataFrame:
     """(keep..., at, hash, root, path, scalars, children): one row per object of each payload; `at` is its place in post-order."""
     nodes = df.select(*[c.alias(n) for n, c in keep.items()], shred(F.col(payload)).alias("nodes"))
-    return nodes.select(*keep, F.posexplode("nodes").alias("at", "node")).select(*keep, "at", "node.*")
+    # an inner explode would have the optimizer test the nodes first, and so parse every payload twice
+    return nodes.select(*keep, F.posexplode_outer("nodes").alias("at", "node")).select(*keep, "at", "node.*").where("at is not null")
 
 
 def objects(occ: DataFrame) -> DataFrame:
