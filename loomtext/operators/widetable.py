@@ -45,7 +45,9 @@ def _block(facts: DataFrame, block: Sequence[tuple[str, str, bool]], typed: dict
     names = [a for a, _, one in block if one]
     single = F.col("attr").isin(names) if names else F.lit(False)
     salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
-    sets = facts.groupBy(*on, "attr", salt.alias("salt")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.collect_set(F.when(~single, F.col("key"))).alias("keys"))
+    # a test of a gathered value stays behind the gathering; one of entity or attr would be pushed below, and the reading of ids done twice
+    good = F.bool_or(F.col("entity").isNotNull() & F.col("attr").isin([a for a, _, _ in block])).alias("good")
+    sets = facts.groupBy(*on, "attr", salt.alias("salt")).agg(good, F.min("key").alias("lo"), F.max("key").alias("hi"), F.collect_set(F.when(~single, F.col("key"))).alias("keys")).where("good and lo is not null").drop("good")
     cells = sets.repartition(*on).groupBy(*on, "attr").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("keys")).alias("keys"))
     cell = F.struct("attr", F.struct("lo", F.array_sort("keys").alias("keys")).alias("v"))
     rows = cells.groupBy(*on).agg(F.map_from_entries(F.collect_list(cell)).alias("m"), F.collect_list(F.when(single & (F.col("lo") != F.col("hi")), F.col("attr"))).alias(conflicts))
@@ -65,15 +67,15 @@ def pivot_wide(facts: DataFrame, attributes: Sequence[tuple[str, str, bool]], ty
     """
     attributes = list(attributes)
     work = Workspace(facts.sparkSession, "wide")
-    wanted = facts.where(F.col("entity").isNotNull() & F.col("key").isNotNull() & F.col("attr").isin([a for a, _, _ in attributes])).select("entity", "attr", "key")
+    wanted = facts.select("entity", "attr", "key")
     groups = [attributes[at : at + block_size] for at in range(0, len(attributes), block_size)]
     if len(groups) > 1:
         # the facts are read and typed once; each block reads its own folder of them
         number = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for a, _, _ in g for x in (a, i)])
-        wanted = work.keep(wanted.withColumn("block", F.element_at(number, F.col("attr"))), "facts", by=("block",))
+        wanted = work.keep(wanted.withColumn("block", F.try_element_at(number, F.col("attr"))), "facts", by=("block",))
     parted = _parted(wanted, facts.where(F.col("entity").isNotNull()), [a for a, _, one in attributes if not one], list_limit, work)
     on = ["entity", "part"] if "part" in parted.columns else ["entity"]
     blocks = [_block(parted if len(groups) == 1 else parted.where(F.col("block") == i), g, typed, on, f"conflicts_{i}") for i, g in enumerate(groups)]
-    wide = blocks[0] if len(blocks) == 1 else reduce(lambda a, b: a.join(b, on, "left"), blocks, parted.select(*on).distinct())
+    wide = blocks[0] if len(blocks) == 1 else reduce(lambda a, b: a.join(b, on, "left"), blocks, parted.where("entity is not null and key is not null and block is not null").select(*on).distinct())
     every = F.concat(*[F.coalesce(f"conflicts_{i}", F.array().cast("array<string>")) for i in range(len(groups))])
     return wide.select("entity", (F.col("part") if "part" in on else F.lit(0)).alias("part"), *[f"`{a}`" for a, _, _ in attributes], F.array_sort(every).alias("conflicts"))

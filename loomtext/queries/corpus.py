@@ -49,8 +49,9 @@ def facts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[str,
     """Facts (entity, attr, key) of raw_queries, and the attributes in order of their id."""
     a = table(spark, folder, "attributes").select("attr_id", "value_type", "single_valued")
     names = sorted((r["attr_id"], r["value_type"], bool(r["single_valued"])) for r in a.where("attr_id is not null").collect())
-    q = table(spark, folder, "raw_queries").select(kb_id(F.col("_subject_uri"), "Q").alias("entity"), kb_id(F.col("_attr_uri"), "P").alias("attr"), F.col("_answer_uri").alias("answer"))
-    typed = q.where("entity is not null").join(a.select(F.col("attr_id").alias("attr"), F.col("value_type").alias("kind")), "attr")
+    # without null attributes the join needs no test of them, which would read the ids twice
+    q = table(spark, folder, "raw_queries").select(kb_id(F.col("_subject_uri"), "Q").alias("entity"), F.coalesce(kb_id(F.col("_attr_uri"), "P"), F.lit("")).alias("attr"), F.col("_answer_uri").alias("answer"))
+    typed = q.join(a.select(F.col("attr_id").alias("attr"), F.col("value_type").alias("kind")), "attr")
     return typed.select("entity", "attr", value_key(F.col("kind"), F.col("answer")).alias("key")), names
 
 
