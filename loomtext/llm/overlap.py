@@ -74,8 +74,9 @@ class CrossSplit:
     def __init__(self, df: DataFrame, k: int = 3, num: int = 1, den: int = 2):
         self.num, self.den = num, den
         self.work = Workspace(df.sparkSession, "overlap")
-        rows = df.select("id", F.coalesce("held", F.lit(False)).alias("held"), runs_of(F.col("text"), k).alias("r")).select("id", "held", "r.sig", "r.runs").where("sig is not null")
-        rows = self.work.keep(rows, "runs")
+        rows = df.select("id", F.coalesce("held", F.lit(False)).alias("held"), runs_of(F.col("text"), k).alias("r")).select("id", "held", "r.sig", "r.runs")
+        # a test before the table is written would be pushed below the hashing, and it be done twice
+        rows = self.work.keep(rows, "runs").where("sig is not null")
         #: (id, held, sig)
         self.members = rows.select("id", "held", "sig")
         self.classes = rows.groupBy("sig").agg(F.max_by("runs", "id").alias("runs"), F.max(F.col("held").cast("int")).alias("e"), F.max((~F.col("held")).cast("int")).alias("t"))
@@ -86,22 +87,30 @@ class CrossSplit:
         return ((whole + (self.num + self.den - 1)) / (self.num + self.den)).cast("long")
 
     def near(self) -> DataFrame:
-        """(held_sig, train_sig, common, n_held, n_train): different classes above the threshold."""
-        classes = self.work.keep(self.classes.select("sig", "e", "t", F.size("runs").alias("n"), "runs"), "classes")
-        each = classes.select("sig", "n", "e", "t", F.explode("runs").alias("h"))
-        both = each.groupBy("h").agg(F.sum("e").alias("ne"), F.sum("t").alias("nt"), F.count("*").alias("df")).where("ne > 0 and nt > 0 and df > 1").select("h", "df")
-        ordered = each.join(both, "h").groupBy("sig").agg(F.first("n").alias("n"), F.first("e").alias("e"), F.first("t").alias("t"), F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+        """(held_sig, train_sig, common, n_held, n_train): different classes above the threshold.
+
+        Rows of single runs hold two numbers: the run's hash and the class's number in the
+        written table, whose lowest bits tell the sides that have members.
+        """
+        number = F.monotonically_increasing_id() * 4 + F.col("e") * 2 + F.col("t")
+        classes = self.work.keep(self.classes.select(number.alias("c"), "sig", F.size("runs").alias("n"), "runs"), "classes")
+        e, t = F.shiftright("c", 1).bitwiseAND(F.lit(1)), F.col("c").bitwiseAND(F.lit(1))
+        each = classes.select("c", F.explode("runs").alias("h"))
+        both = each.groupBy("h").agg(F.sum(F.shiftleft(e, 32) + t).alias("s")).select("h", F.shiftright("s", 32).alias("ne"), F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("nt")).where("ne > 0 and nt > 0")
+        common = each.join(both.select("h", (F.col("ne") + F.col("nt")).alias("df")), "h").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
         least = F.ceil(F.col("n") * self.num / self.den)
-        ordered = ordered.select("sig", "n", "e", "t", F.size("s").alias("m"), F.transform("s", lambda x: x["h"]).alias("s"), (F.size("s") - least + 1).cast("int").alias("p")).where("p > 0")
+        ordered = common.join(classes.select("c", "n"), "c").select("c", "n", F.size("s").alias("m"), F.transform("s", lambda x: x["h"]).alias("s"), (F.size("s") - least + 1).cast("int").alias("p")).where("p > 0")
         ordered = self.work.keep(ordered, "ordered")
-        prefix = ordered.select("sig", "n", "e", "t", "m", F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("i", "h"))
-        left = prefix.where("e = 1").select("h", F.col("sig").alias("a"), F.col("n").alias("na"), (F.col("m") - F.col("i")).alias("ra"))
-        right = prefix.where("t = 1").select("h", F.col("sig").alias("b"), F.col("n").alias("nb"), (F.col("m") - F.col("i")).alias("rb"))
+        prefix = ordered.select("c", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("i", "h"))
+        left = prefix.where(e == 1).select("h", F.col("c").alias("a"), F.col("n").alias("na"), (F.col("m") - F.col("i")).alias("ra"))
+        right = prefix.where(t == 1).select("h", F.col("c").alias("b"), F.col("n").alias("nb"), (F.col("m") - F.col("i")).alias("rb"))
         fits = (F.col("a") != F.col("b")) & (F.least("ra", "rb") >= self._needed("na", "nb")) & (F.col("na") * self.den >= F.col("nb") * self.num) & (F.col("nb") * self.den >= F.col("na") * self.num)
         pairs = left.join(right, "h").where(fits).select("a", "b", "na", "nb").distinct()
-        sa, sb = ordered.select(F.col("sig").alias("a"), F.col("s").alias("sa")), ordered.select(F.col("sig").alias("b"), F.col("s").alias("sb"))
+        sa, sb = ordered.select(F.col("c").alias("a"), F.col("s").alias("sa")), ordered.select(F.col("c").alias("b"), F.col("s").alias("sb"))
         counted = pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
-        return counted.where(F.col("common") >= self._needed("na", "nb")).select(F.col("a").alias("held_sig"), F.col("b").alias("train_sig"), "common", F.col("na").alias("n_held"), F.col("nb").alias("n_train"))
+        found = counted.where(F.col("common") >= self._needed("na", "nb"))
+        named = found.join(classes.select(F.col("c").alias("a"), F.col("sig").alias("held_sig")), "a").join(classes.select(F.col("c").alias("b"), F.col("sig").alias("train_sig")), "b")
+        return named.select("held_sig", "train_sig", "common", F.col("na").alias("n_held"), F.col("nb").alias("n_train"))
 
     def pairs(self) -> DataFrame:
         """(held_id, train_id, similarity): every matching pair of a held-out and another row; 1.0 for equal sets."""

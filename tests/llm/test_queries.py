@@ -1,0 +1,29 @@
+from pathlib import Path
+
+import pytest
+
+from loomtext.llm import queries
+
+FOLDER = "/root/testdata/sf0.001"
+
+pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables")
+
+
+@pytest.mark.parametrize("name", queries.QUERIES)
+def test_runs(spark, name):
+    df = queries.QUERIES[name](spark, FOLDER)
+    df.write.format("noop").mode("overwrite").save()
+
+
+def test_stretches_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("texts", "window_config"):
+        con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
+    assert {r[0] for r in queries.p3_found(spark, FOLDER).collect()} == {r[0] for r in con.execute(queries.SQL["p3_found"]).fetchall()}
+
+
+def test_shares_add_up(spark):
+    got = queries.p7_shares(spark, FOLDER).collect()
+    assert abs(sum(r["actual_share"] for r in got) - 1) < 1e-9 and all(r["most_copies"] <= r["max_repeats"] for r in got)
