@@ -102,7 +102,13 @@ class LabelExtractor(Extractor):
 
     def rows(self, text: Column, attributes: Sequence[str], identifying: str) -> Column:
         names = F.array_distinct(F.transform(F.filter("__labels", lambda s: s["row_key"] != ""), lambda s: s["row_key"]))
-        one = lambda r: F.struct(r.alias(identifying), *[self._combine(text, F.filter("__labels", lambda s, a=a: (s["attribute"] == a) & (s["row_key"] == r))).alias(a) for a in attributes])
+
+        def mine(r: Column, attribute: str) -> Column:
+            return self._combine(text, F.filter("__labels", lambda s: (s["attribute"] == attribute) & (s["row_key"] == r)))
+
+        def one(r: Column) -> Column:
+            return F.struct(r.alias(identifying), *[mine(r, a).alias(a) for a in attributes])
+
         return F.coalesce(F.transform(names, one), F.array())
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomtext.functions.ids import trimmed
+
 BREAK = "<NEWLINE>"
 
 
@@ -78,7 +80,7 @@ def split_outputs(text: Column, n: int) -> Column:
     """The n answers of a batched completion, cut at `Output:` or `Output 3:` lines; missing ones are empty text."""
     parts = F.split(text, r"Output( [0-9]+)?:\n")
     parts = F.when(F.size(parts) > 1, F.slice(parts, F.lit(2), F.size(parts) - 1)).otherwise(parts)
-    return F.slice(F.concat(F.transform(parts, lambda x: F.trim(x)), F.array_repeat(F.lit(""), n)), 1, n)
+    return F.slice(F.concat(F.transform(parts, trimmed), F.array_repeat(F.lit(""), n)), 1, n)
 
 
 def prompt(text: Column, columns: Sequence[str], shots: Column | None = None) -> Column:

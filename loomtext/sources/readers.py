@@ -23,8 +23,8 @@ def stem(path: Column) -> Column:
 
 
 def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
-    """(name, text): one row per file, read whole."""
-    return spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder).select(stem(F.input_file_name()).alias("name"), F.col("value").alias("text"))
+    """(name, text): one row per file, read whole; empty files give none."""
+    return spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True).select(stem(F.input_file_name()).alias("name"), F.col("value").alias("text"))
 
 
 def annotated_documents(spark: SparkSession, folder: str, test_names: Sequence[str] = (), test: bool | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ def negated(df: DataFrame, key: str) -> DataFrame:
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(number, line): lines of one file by number from 0."""
-    return spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("number", "line"))
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("number", "line"))
 
 
 def paired_lines(spark: SparkSession, data: str, text: str) -> DataFrame:
