@@ -6,13 +6,13 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomtext.queries import corpus, relational, texttables
+from loomtext.queries import corpus, corpusflow, relational, texttables
 from tools_compare import rows
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = [corpus, relational, texttables]
+MODULES = [corpus, relational, texttables, corpusflow]
 #: those that take long for what they add here
-LONG = {"p1_paths", "p1_descendants", "p1_hierarchy"}
+LONG = {"p1_found", "p1_paths", "p1_descendants", "p1_hierarchy", "graph_hull"}
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables")
 
