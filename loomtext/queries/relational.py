@@ -267,7 +267,7 @@ def set_distinct(spark, folder):
     return table(spark, folder, "events").select("event_type", "user_id").distinct()
 
 
-@query("""with a as (select p_brand as k, list(distinct p_size) as s from part group by 1), b as (select list(distinct p_size) as t from part where p_retailprice > 990)
+@query("""with a as (select p_brand as k, list(distinct p_size) as s from part group by 1), b as (select coalesce(list(distinct p_size), []) as t from part where p_retailprice > 990)
 select k, array_to_string(list_sort(list_intersect(s, t)), ',') as both, array_to_string(list_sort([x for x in s if not list_contains(t, x)]), ',') as rest, cast(len(list_distinct(list_concat(s, t))) as int) as n_either from a, b""")
 def set_array_algebra(spark, folder):
     p = table(spark, folder, "part")
