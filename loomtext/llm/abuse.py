@@ -7,7 +7,8 @@ of which mostly one sentence is at fault, so a positive document is represented
 sentences that score highest, and a document's score is that of its worst sentence.
 
 The model is fitted on the driver on a bounded sample of the labelled documents and has a fixed
-number of weights; every document is scored as a whole.
+number of weights; every document is scored as a whole. Its thresholds stand for all labelled
+documents: a sampled one counts for as many as its side of the sample leaves out.
 """
 
 from __future__ import annotations
@@ -210,13 +211,13 @@ def _fit_class(spans: _Spans, y: np.ndarray) -> tuple[np.ndarray, float]:
     return _linear(row, feature, len(both), labels, weight, ratio)
 
 
-def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The probability from which F1 is greatest on held-out documents; the middle of the gap to the next lower one."""
+def _best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The probability from which F1 is greatest on held-out documents, each counted by its weight; the middle of the gap to the next lower one."""
     known = y >= 0
-    p, y = p[known], y[known]
+    p, y, weight = p[known], y[known], weight[known]
     order = np.argsort(-p, kind="stable")
-    hit = np.cumsum(y[order])
-    f1 = 2 * hit / (np.arange(1, len(p) + 1) + max(1, y.sum()))
+    hit = np.cumsum((weight * y)[order])
+    f1 = 2 * hit / (np.cumsum(weight[order]) + max(1, (weight * y).sum()))
     if not len(f1) or not y.sum():
         return 0.5
     k = int(np.argmax(f1))
@@ -224,8 +225,12 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order[k]] + low) / 2, 0.3, 0.9))
 
 
-def fit(texts: list[str | None], labels: np.ndarray, held_out: int = 3) -> Model:
-    """A model from documents and labels (document, class) of 0, 1 or -1; thresholds come from every held_out-th document, that the first fit doesn't see."""
+def fit(texts: list[str | None], labels: np.ndarray, held_out: int = 3, weight: np.ndarray | None = None) -> Model:
+    """A model from documents and labels (document, class) of 0, 1 or -1; thresholds come from every held_out-th document, that the first fit doesn't see.
+
+    weight: how many labelled documents each one stands for; thresholds are chosen for that mixture.
+    """
+    weight = np.ones(len(texts)) if weight is None else weight
     spans = _Spans([sentences(t) for t in texts])
     held = np.arange(len(texts)) % held_out == 0
     seen = np.where(held[:, None], -1, labels)
@@ -235,7 +240,7 @@ def fit(texts: list[str | None], labels: np.ndarray, held_out: int = 3) -> Model
         return Model(np.stack([w for w, _ in fitted]).astype(np.float32), np.array([b for _, b in fitted]), threshold)
 
     p = model(seen, np.full(len(CLASSES), 0.5)).documents([t for t, h in zip(texts, held) if h])
-    threshold = np.array([_best_threshold(p[:, c], labels[held, c]) for c in range(len(CLASSES))])
+    threshold = np.array([_best_threshold(p[:, c], labels[held, c], weight[held]) for c in range(len(CLASSES))])
     return model(labels, threshold)
 
 

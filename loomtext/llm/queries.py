@@ -96,18 +96,19 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def abuse_model(spark: SparkSession, folder: str) -> abuse.Model:
-    """Fitted on at most MAX_POSITIVE and MAX_NEGATIVE of the labelled documents, by hash of their id.
+    """Fitted on at most MAX_POSITIVE and MAX_NEGATIVE of the labelled documents, by hash of their id, weighted by the labelled over the sampled count of their side.
 
     Several reviews of a document count as 1 if at least half of them do; a class nobody judged is unknown.
     """
     labels = _table(spark, folder, "review_labels").where("doc_id is not null").groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in abuse.CLASSES])
     bad = F.greatest(*[F.coalesce(c, F.lit(0.0)) for c in abuse.CLASSES]) >= 0.5
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    sample = labels.where(bad).orderBy(*order).limit(abuse.MAX_POSITIVE).unionByName(labels.where(~bad).orderBy(*order).limit(abuse.MAX_NEGATIVE))
-    rows = _table(spark, folder, "documents").join(F.broadcast(sample), "doc_id").select("doc_id", "text", *abuse.CLASSES).collect()
+    counted = {r["bad"]: r["n"] for r in labels.groupBy(bad.alias("bad")).agg(F.count("*").alias("n")).collect()}
+    sides = [labels.where(is_bad).orderBy(*order).limit(most).withColumn("w", F.lit(max(1.0, counted.get(key, 0) / most))) for is_bad, key, most in ((bad, True, abuse.MAX_POSITIVE), (~bad, False, abuse.MAX_NEGATIVE))]
+    rows = _table(spark, folder, "documents").join(F.broadcast(sides[0].unionByName(sides[1])), "doc_id").select("doc_id", "text", "w", *abuse.CLASSES).collect()
     rows.sort(key=lambda r: r["doc_id"])
     y = np.array([[-1 if r[c] is None else int(r[c] >= 0.5) for c in abuse.CLASSES] for r in rows]).reshape(len(rows), len(abuse.CLASSES))
-    return abuse.fit([r["text"] for r in rows], y)
+    return abuse.fit([r["text"] for r in rows], y, weight=np.array([r["w"] for r in rows]))
 
 
 def _scored(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

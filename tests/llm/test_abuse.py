@@ -58,3 +58,28 @@ def test_no_labels():
     model = abuse.fit(["a text."], np.zeros((1, 3), int))
     assert not (model.documents(["a text."]) >= model.threshold).any()
     assert not (abuse.fit([], np.zeros((0, 3), int)).documents(["x"]) >= 0.5).any()
+
+
+def test_threshold_of_a_thinned_sample():
+    rng = np.random.default_rng(4)
+    p, y = np.r_[rng.beta(4, 2, 300), rng.beta(2, 4, 9000)], np.r_[np.ones(300, int), np.zeros(9000, int)]
+    whole = abuse._best_threshold(p, y, np.ones(len(p)))
+    kept = (y == 1) | (np.arange(len(p)) % 9 == 0)
+    thinned = abuse._best_threshold(p[kept], y[kept], np.where(y[kept] == 1, 1.0, 9.0))
+    bare = abuse._best_threshold(p[kept], y[kept], np.ones(kept.sum()))
+    assert abs(thinned - whole) < 0.05 < whole - bare
+
+
+def test_sample_stands_for_all_labels(spark, tmp_path, monkeypatch):
+    from loomtext.llm import queries
+
+    labels = [(i, int(i % 10 == 0), 0, 0) for i in range(200)]
+    spark.createDataFrame(labels, "doc_id long, abusive int, hateful int, sexual int").write.parquet(str(tmp_path / "review_labels.parquet"))
+    spark.createDataFrame([(i, f"text {i}.") for i in range(200)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(abuse, "MAX_POSITIVE", 16)
+    monkeypatch.setattr(abuse, "MAX_NEGATIVE", 18)
+    seen = {}
+    monkeypatch.setattr(abuse, "fit", lambda texts, y, **more: seen.update(more, y=y))
+    queries.abuse_model(spark, str(tmp_path))
+    bad = seen["y"][:, 0] == 1
+    assert seen["weight"][bad].tolist() == [20 / 16] * 16 and seen["weight"][~bad].tolist() == [10.0] * 18
