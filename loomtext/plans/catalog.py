@@ -35,7 +35,7 @@ class TextView:
     identifying: str | None = None
     #: predicates on cells that are applied after extraction, by attribute
     pending: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
-    #: documents that can satisfy the predicates at all, where an index knows them
+    #: documents that can satisfy the predicates at all, where an index knows them: a row each, with the spellings looked for
     only: DataFrame | None = None
 
     @property

@@ -17,6 +17,10 @@ from loomtext.operators.ranking import global_rank
 from loomtext.plans.catalog import Catalog, Table, TextView
 
 
+#: Column of the documents of an indexed selection: the spellings in them that it looks for.
+ASKED = "__asked"
+
+
 def _short(columns: Sequence[str]) -> str:
     return ", ".join(columns) if len(columns) <= 4 else ", ".join(c[:2] for c in columns[:4]) + "…"
 
@@ -137,7 +141,8 @@ def extract(view: TextView, attributes: Sequence[str], docs: DataFrame | None =
     source = view.collection
     docs = source.df if docs is None else docs
     if view.only is not None:
-        docs = docs.join(view.only, source.key, "left_semi")
+        # one row per document, with the spellings that its predicate looks for where the index gives them
+        docs = docs.join(view.only, source.key)
     if limit is not None:
         docs = docs.orderBy(F.col(source.key).asc_nulls_last()).limit(limit)
     wanted = [a for a in dict.fromkeys(attributes) if a != source.key]
@@ -159,7 +164,7 @@ def extract(view: TextView, attributes: Sequence[str], docs: DataFrame | None =
     for attribute, test in view.pending:
         value = F.col(attribute)
         found = found.where(test(cell_of(F.array(value)) if attribute == view.identifying else value))
-    return found.select(*kept, *wanted)
+    return found.select(*[c for c in kept if c != ASKED], *wanted)
 
 
 @dataclass(frozen=True)
@@ -272,7 +277,7 @@ class TextSelect(Node):
     """A latent table narrowed to the rows whose attribute has the constant that comes closest to `share` of the documents (or `constant`).
 
     With `indexed`, documents that can't hold it are ruled out before extraction, and any spelling that an
-    equal value has counts. Used as operand of TextScan, TextJoin and TextUnion.
+    equal value has counts, without a bound on their number. Used as operand of TextScan, TextJoin and TextUnion.
     """
 
     source: str
@@ -293,10 +298,12 @@ class TextSelect(Node):
             return view.narrowed(self.attribute, lambda cell: F.lit(False), None)
         if not self.indexed:
             return view.narrowed(self.attribute, lambda cell: cell_has(cell, F.array(F.lit(constant))), None)
-        named = index.where(F.lower("normed") == constant.lower())
-        spellings = [r["spelling"] for r in named.select(F.lower("spelling").alias("spelling")).distinct().orderBy("spelling").limit(1000).collect()]
-        only = index.where(F.lower("spelling").isin(spellings)).select(F.col("doc").alias(view.collection.key)).distinct()
-        return view.narrowed(self.attribute, lambda cell: cell_has(cell, F.array(*[F.lit(s) for s in spellings])), only)
+        low = F.lower("spelling").alias("low")
+        spellings = index.where(F.lower("normed") == constant.lower()).select(low).distinct()
+        # each document with those of the value's spellings that it holds itself, however many the value has
+        held = index.select("doc", low).join(spellings, "low", "left_semi")
+        only = held.groupBy(F.col("doc").alias(view.collection.key)).agg(F.collect_set("low").alias(ASKED))
+        return view.narrowed(self.attribute, lambda cell: cell_has(cell, F.col(ASKED)), only)
 
     def lower(self, catalog: Catalog) -> Lowered:
         return TextScan(self).lower(catalog)

@@ -74,6 +74,19 @@ def test_synonyms_by_index(catalog):
     assert {(r["normed"], r["spelling"]) for r in index.collect()} == {("anna", "anna"), ("anna", "ann"), ("anna", DOCS[0][1][15:19].lower()), ("bob", "bob")}
 
 
+def test_more_spellings_than_a_list_would_hold(spark):
+    n = 1200
+    c = Catalog(spark)
+    docs = c.collection("d", spark.createDataFrame([(i, f"s{i:04d} other") for i in range(n)], "id long, text string"), "id")
+    labels = [(i, str(r), "who", 0, "zed" if r == 0 else "other", 0 if r == 0 else 6, 5 if r == 0 else 11) for i in range(n) for r in range(2)]
+    frame = spark.createDataFrame(labels, "id long, row_key string, attribute string, pos int, normed string, start int, end int")
+    docs.view("many", ["row", "who"], LabelExtractor(frame, "id"), identifying="row")
+    ways = [TextScan(TextSelect("d.many", "who", constant="zed", indexed=i)).run(c) for i in (False, True)]
+    assert [w.columns for w in ways] == [["id", "row", "who"]] * 2
+    got = [sorted((r["id"], r["row"]) for r in w.collect()) for w in ways]
+    assert got[0] == got[1] == [(i, "0") for i in range(n)]
+
+
 def test_oracle(catalog):
     cells = {r["id"]: r["person"] for r in TextScan("docs.truth").run(catalog).collect()}
     assert [(v["normed"], v["alts"]) for v in cells[1]] == [("anna", ["anna", "ann", DOCS[0][1][15:19].lower()]), ("bob", ["bob"])]
