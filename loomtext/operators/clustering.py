@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
+from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -10,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions.text import ratio
+from loomtext.workspace import Workspace
 
 
 def edit_distance(a: str, b: str) -> float:
@@ -46,38 +52,159 @@ def representative(values: list[str]) -> str:
     return min(values, key=lambda v: (v.count("#"), -len(v), v))
 
 
-def cluster_values(df: DataFrame, value: str, limit: float = 0.2, linkage: str = "complete", block: int = 2, most: int = 2000) -> DataFrame:
+@lru_cache(maxsize=65536)
+def _common(a: int, b: int, limit: float) -> int:
+    """How many characters strings of lengths a and b must share to be within limit."""
+    return math.ceil((1 - limit) * (a + b) / 2 - 1e-9)
+
+
+@lru_cache(maxsize=65536)
+def _prefix(n: int, limit: float, q: int) -> int:
+    """How many of its rarest grams a string of length n must show so that every string within limit shares one of them."""
+    partners = [n]
+    while partners[-1] and _common(n, partners[-1] - 1, limit) <= partners[-1] - 1:
+        partners.append(partners[-1] - 1)
+    longer = n + 1
+    while _common(n, longer, limit) <= n:
+        partners.append(longer)
+        longer += 1
+    least = min(_common(n, m, limit) if q == 1 else 3 * _common(n, m, limit) + 1 - n - m for m in partners)
+    return n + q - 1 - least + 1
+
+
+def _grams(low: str, q: int) -> list[str]:
+    """Characters, or pairs with the ends marked, each with its number among equal ones."""
+    whole, seen, out = low if q == 1 else f"\x02{low}\x03", Counter(), []
+    for i in range(len(whole) - q + 1):
+        g = whole[i : i + q]
+        out.append(f"{g}{seen[g]}")
+        seen[g] += 1
+    return out
+
+
+def near_values(forms: DataFrame, limit: float) -> DataFrame:
+    """(a, b, d): all pairs a < b of the nodes of forms (node, low) whose lower-case forms are within a limit below 1.
+
+    Equal characters stand in the same order in both strings, and each of the others parts at most
+    one pair of these, so with their ends marked strings share 3 c + 1 - |a| - |b| of their pairs of
+    neighbours, c being the equal characters needed. Above a limit of a third, single characters
+    are counted. Grams are ordered from rare to common and only the prefix in which two such strings
+    must meet is joined; what is left is measured.
+    """
+    q = 2 if limit <= 1 / 3 else 1
+
+    @F.pandas_udf("n int, p int, grams array<string>")
+    def parts(low: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"n": [len(x) for x in low], "p": [_prefix(len(x), limit, q) for x in low], "grams": [_grams(x, q) for x in low]})
+
+    @F.pandas_udf("double")
+    def measured(a: pd.Series, b: pd.Series) -> pd.Series:
+        bound = [1 - SequenceMatcher(None, x, y, autojunk=False).quick_ratio() for x, y in zip(a, b)]
+        return pd.Series([edit_distance(x, y) if least <= limit + 1e-9 else 1.0 for x, y, least in zip(a, b, bound)], dtype="float64")
+
+    work = Workspace(forms.sparkSession, "near")
+    # a written table, so that the grams are made once
+    forms = work.keep(forms.select("node", "low", parts("low").alias("r")).select("node", "low", "r.*"), "grams")
+    each = forms.select("node", "n", "p", F.explode("grams").alias("g"))
+    counts = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    # a gram that one value alone has comes first and meets nothing; it counts in the prefix all the same
+    shared = each.join(counts, "g").groupBy("node", "n", "p").agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("s"))
+    ranked = shared.select("node", "n", (F.col("n") + q - 1).alias("m"), "p", F.posexplode("s").alias("i", "x"), F.size("s").alias("k"))
+    ranked = ranked.select("node", "n", "m", "p", (F.col("i") + F.col("m") - F.col("k")).alias("i"), F.col("x.g").alias("g")).where("i < p")
+    left, right = (ranked.select("g", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "m", "i")]) for side in "ab")
+    common = F.ceil((1 - limit) * (F.col("n_a") + F.col("n_b")) / 2 - 1e-9)
+    grams = common if q == 1 else 3 * common + 1 - F.col("n_a") - F.col("n_b")
+    fits = (F.col("node_a") < F.col("node_b")) & (F.least("n_a", "n_b") >= common) & (F.col("m_a") - F.col("i_a") >= grams) & (F.col("m_b") - F.col("i_b") >= grams)
+    pairs = left.join(right, "g").where(fits).select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+    low = lambda c: forms.select(F.col("node").alias(c), F.col("low").alias(f"low_{c}"))
+    return work.keep(pairs.join(low("a"), "a").join(low("b"), "b").select("a", "b", measured("low_a", "low_b").alias("d")), "measured").where(F.col("d") <= limit)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, comp): comp is the least node that edges (a, b) connect a node with."""
+    work = Workspace(edges.sparkSession, "connected")
+    both = work.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "both")
+    label = work.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "label")
+    while True:
+        seen = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("next"))
+        nearer = label.join(seen, "node").select("node", "comp", F.least("comp", "next").alias("next"))
+        # the label of the label halves the way to the least node
+        jump = nearer.join(label.select(F.col("node").alias("next"), F.col("comp").alias("beyond")), "next").select("node", "comp", F.least("next", "beyond").alias("next"))
+        moved, n = work.measure(jump, n=F.col("next") < F.col("comp"))
+        label = moved.select("node", F.col("next").alias("comp"))
+        if not n["n"]:
+            return label
+
+
+def complete_linkage(edges: list[tuple[str, str, float]]) -> dict[str, str]:
+    """As agglomerate with complete linkage, from the pairs (a, b, distance) within the limit alone: node to the first node of its cluster.
+
+    A pair that isn't there keeps two clusters apart for good, so the work and memory follow the pairs.
+    """
+    near: dict[str, dict[str, float]] = {}
+    for a, b, d in edges:
+        near.setdefault(a, {})[b] = near.setdefault(b, {})[a] = d
+    heap, head = [(d, a, b) for a, b, d in edges], {x: [x] for x in near}
+    heapq.heapify(heap)
+    while heap:
+        d, a, b = heapq.heappop(heap)
+        if a not in near or near[a].get(b) != d:
+            continue
+        first, second = near[a], near.pop(b)
+        for x in second:
+            near[x].pop(b)
+        head[a] += head.pop(b)
+        for x in list(first):
+            if x not in second:
+                first.pop(x)
+                near[x].pop(a)
+            elif second[x] > first[x]:
+                first[x] = near[x][a] = second[x]
+                heapq.heappush(heap, (second[x], min(a, x), max(a, x)))
+    return {x: a for a, xs in head.items() for x in xs}
+
+
+def cluster_values(df: DataFrame, value: str, limit: float = 0.2, linkage: str = "complete") -> DataFrame:
     """(value, rep): each distinct non-null value with the representative of its cluster.
 
-    Values are clustered within blocks: those that share their first `block` letters (case and marks aside), so no
-    group has to hold all values; clusters across blocks aren't formed. A block of more than
-    `most` distinct values is divided by more letters until its parts are small enough, or the values end.
+    All pairs within limit are found by an exact filter, and values are clustered within the groups
+    that such pairs connect: no cluster reaches beyond one. Values equal but for case are one from
+    the start. Complete linkage holds the pairs of one group in a task, average linkage all its
+    distances. Runs Spark jobs when called.
     """
-    from loomtext.functions.text import match_form
-
-    distinct = df.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct()
-    rows, done = distinct.withColumn("f", match_form(F.col("value"))), []
-    # sizes of the blocks of growing prefixes tell how long a value's prefix has to be
-    prefix = F.lit(None).cast("string")
-    for length in range(block + 12, block - 1, -3):
-        key = F.substring("f", 1, length)
-        sizes = rows.groupBy(key.alias(f"p{length}")).agg(F.count("*").alias(f"n{length}"))
-        rows = rows.withColumn(f"p{length}", key).join(sizes, f"p{length}")
-        prefix = F.when(F.col(f"n{length}") <= most, F.col(f"p{length}")).otherwise(prefix)
-        done.append(length)
-    rows = rows.select("value", F.coalesce(prefix, F.col("f")).alias("b"))
-
-    def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = sorted(pdf["value"])
-        # beyond `most` the values of a block are equal but for case and marks: one cluster
-        labels = agglomerate(values, limit, linkage) if len(values) <= most else [0] * len(values)
-        members: dict[int, list[str]] = {}
-        for v, c in zip(values, labels):
-            members.setdefault(c, []).append(v)
-        reps = {c: representative(m) for c, m in members.items()}
-        return pd.DataFrame({"value": values, "rep": [reps[c] for c in labels]})
-
-    return rows.groupBy("b").applyInPandas(cluster, "value string, rep string")
+
+    @F.pandas_udf("string")
+    def lower(v: pd.Series) -> pd.Series:
+        return pd.Series([x.lower() for x in v], dtype="object")
+
+    work = Workspace(df.sparkSession, "cluster")
+    values = work.keep(df.select(F.col(value).cast("string").alias("value")).where("value is not null").distinct().select("value", lower("value").alias("low")), "values")
+    if limit >= 1:
+        heads = values.select("value", F.lit("").alias("head"))
+    else:
+        forms = work.keep(values.groupBy("low").agg(F.min("value").alias("node")), "forms")
+        edges = near_values(forms, limit)
+        comp = connected(edges)
+        if linkage == "complete":
+
+            def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+                got = complete_linkage(list(zip(pdf["a"], pdf["b"], pdf["d"])))
+                return pd.DataFrame({"node": list(got), "head": list(got.values())})
+
+            merged = edges.join(comp.withColumnRenamed("node", "a"), "a").groupBy("comp").applyInPandas(merge, "node string, head string")
+            heads = values.join(forms, "low").join(merged, "node", "left").select("value", F.coalesce("head", "node").alias("head"))
+        else:
+
+            def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
+                v = sorted(pdf["value"])
+                return pd.DataFrame({"value": v, "head": [v[i] for i in agglomerate(v, limit, linkage)]})
+
+            grouped = values.join(forms, "low").join(comp, "node", "left").select("value", F.coalesce("comp", "node").alias("comp"))
+            heads = grouped.groupBy("comp").applyInPandas(cluster, "value string, head string")
+    signs = F.length("value") - F.length(F.replace("value", F.lit("#"), F.lit("")))
+    heads = work.keep(heads, "heads")
+    reps = heads.groupBy("head").agg(F.min(F.struct(signs, -F.length("value"), F.col("value").alias("rep")))["rep"].alias("rep"))
+    return heads.join(reps, "head").select("value", "rep")
 
 
 def greedy_pairs(similarity: np.ndarray) -> list[tuple[int, int]]:

@@ -178,6 +178,15 @@ def text_aggregate_synonyms(spark, folder):
     return got.select("airport", F.size("doc_id").cast("long").alias("n_docs"))
 
 
+@query()
+def text_aggregate_spellings(spark, folder):
+    """Reports by city as they mention it, spellings within a fifth of each other taken as one."""
+    c = incident_reports(spark, folder)
+    index = value_index(c.get("reports.incident"), "location_city")
+    got = TextAggregate(TextScan("reports.incident", ("location_city",)), "location_city", cluster_values(index, "normed", 0.2)).run(c)
+    return got.select("location_city", F.size("report_number").cast("long").alias("n_reports"))
+
+
 def incident_reports(spark, folder) -> Catalog:
     """reports with the latent table incident, filled by the oracle from their mentions, and the table incidents."""
     c = Catalog(spark)

@@ -91,6 +91,32 @@ def test_clusters(spark):
     assert cluster_values(df.where("false"), "v").count() == 0
 
 
+@pytest.mark.parametrize(("limit", "linkage"), [(0.2, "complete"), (0.34, "complete"), (0.25, "average")])
+def test_clusters_against_all_pairs(spark, limit, linkage):
+    import random
+
+    rng = random.Random(6)
+    names = [" ".join(rng.choice(["north", "new", "port", "saint", "lake"]) + rng.choice(["ville", "ton", "", "field"]) for _ in range(rng.randint(1, 2))) for _ in range(25)]
+    values = {"x", "", "kopenhagen", "copenhagen", "Øst#"} | set(names)
+    for n in names:
+        i = rng.randrange(len(n))
+        values |= {n[:i] + rng.choice("aeix") + n[i + 1 :], n[:i] + n[i + 1 :], n.upper()}
+    values = sorted(values)
+    labels = agglomerate(values, limit, linkage)
+    want = {v: representative([w for w, m in zip(values, labels) if m == c]) for v, c in zip(values, labels)}
+    got = cluster_values(spark.createDataFrame([(v,) for v in values], "v string"), "v", limit, linkage)
+    assert {r["value"]: r["rep"] for r in got.collect()} == want
+    assert want["kopenhagen"] == want["copenhagen"]
+
+
+def test_clusters_of_a_large_block(spark):
+    # more than 2000 values with one 14-letter beginning, each with its one near spelling
+    values = [f"international {i:05d} {x}" for i in range(1100) for x in (f"{i * 7919 % 99991:05d}{i * 104729 % 99991:05d}{i * 31337 % 99989:05d}" * 2,)]
+    values += [v + "x" for v in values]
+    got = {r["value"]: r["rep"] for r in cluster_values(spark.createDataFrame([(v,) for v in values], "v string"), "v", 0.02).collect()}
+    assert len(got) == 2200 and all(got[v] == got[v + "x"] == v + "x" for v in values[:1100])
+
+
 def test_matching(spark):
     import numpy as np
 
