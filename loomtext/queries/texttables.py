@@ -369,11 +369,11 @@ def agg_metrics_prf(spark, folder):
 
 @query()
 def match_rows(spark, folder):
-    """Cities of incidents matched one to one, per state, with the cities that reports mention."""
+    """Cities of incidents matched one to one, per report, with the cities that it mentions, all of them as alternatives in order of their place."""
     t = ReportTables(table(spark, folder, "annotated_reports"))
-    state = t.mentions().where("attribute = 'location_state' and pos = 0").select("report_number", F.col("mention").alias("state"))
-    city = t.mentions().where("attribute = 'location_city' and pos = 0").select("report_number", F.col("mention").alias("city"))
-    labels = state.join(city, "report_number").groupBy("report_number", "state").agg(F.collect_set("city").alias("cities"))
+    city = t.mentions().where("attribute = 'location_city' and mention is not null")
+    cities = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "mention"))), lambda m: m["mention"]))
+    labels = city.groupBy("report_number").agg(cities.alias("cities"))
     predicted = table(spark, folder, "incidents").distinct().join(labels.select("report_number"), "report_number", "left_semi").select("report_number", "location_city")
     return match_greedy(predicted, labels, "report_number", "location_city", "cities")
 

@@ -54,3 +54,13 @@ def test_nothing_else_imports_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts[len(root.parts) :]:
             assert "loomtext.llm" not in p.read_text(), p
+
+
+def test_match_rows_takes_all_cities(spark, tmp_path, monkeypatch):
+    mentions = [("r1", "location_city", 0, "Bonn"), ("r1", "location_city", 1, "Oslo"), ("r1", "location_state", 0, "Ohio"), ("r2", "location_city", 1, "Rome")]
+    frame = spark.createDataFrame(mentions, "report_number string, attribute string, pos int, mention string")
+    monkeypatch.setattr(texttables, "ReportTables", lambda df: type("T", (), {"mentions": lambda self: frame})())
+    frame.write.parquet(str(tmp_path / "annotated_reports.parquet"))
+    spark.createDataFrame([("r1", "Oslo"), ("r2", "Rome")], "report_number string, location_city string").write.parquet(str(tmp_path / "incidents.parquet"))
+    got = {tuple(r) for r in texttables.match_rows(spark, str(tmp_path)).collect()}
+    assert got == {("r1", "Oslo", "Bonn", 100.0), ("r2", "Rome", "Rome", 100.0)}
