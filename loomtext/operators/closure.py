@@ -8,19 +8,22 @@ from pyspark.sql import functions as F
 from loomtext.workspace import Workspace
 
 
-def transitive_hull(edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, ancestor): all pairs reached over edges (node, parent) in one to rounds + 1 steps, the node itself too where it is on a cycle.
+def transitive_hull(edges: DataFrame, steps: int | None = None) -> DataFrame:
+    """(node, ancestor): all pairs reached over edges (node, parent) in one or more steps, the node itself too where it is on a cycle.
 
-    Each round joins the newest pairs with the edges and keeps those not seen before; it ends
-    early when there are none. Null ends are left out.
+    steps bounds how many, if given. Without, each round joins the newest pairs with all pairs found
+    so far, so ways of length n take about log n rounds; it ends when there are no new pairs. Null ends are left out.
     """
     work = Workspace(edges.sparkSession, "hull")
-    base = work.keep(edges.select("node", "parent").where("node is not null and parent is not null").distinct())
-    seen = front = base.select("node", F.col("parent").alias("ancestor"))
-    for _ in range(rounds):
-        step = front.join(base.select(F.col("node").alias("ancestor"), "parent"), "ancestor").select("node", F.col("parent").alias("ancestor")).distinct()
+    base = work.keep(edges.select("node", F.col("parent").alias("ancestor")).where("node is not null and ancestor is not null").distinct())
+    seen = front = base
+    done = 1
+    while steps is None or done < steps:
+        # the first half of a shortest way of up to twice as many steps was new in the last round
+        on = (base if steps else seen).select(F.col("node").alias("mid"), F.col("ancestor").alias("to"))
+        step = front.withColumnRenamed("ancestor", "mid").join(on, "mid").select("node", F.col("to").alias("ancestor")).distinct()
         front, n = work.measure(step.join(seen, ["node", "ancestor"], "left_anti"), n=F.lit(True))
         if not n["n"]:
             break
-        seen = seen.unionByName(front)
+        seen, done = seen.unionByName(front), done + 1
     return seen

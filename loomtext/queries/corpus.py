@@ -22,17 +22,16 @@ def current_entities(spark: SparkSession, folder: str) -> DataFrame:
     return now.select(F.col("key").alias("id"), "parents")
 
 
-def entity_hierarchy(spark: SparkSession, folder: str, whole: bool = True) -> Hierarchy:
-    return hierarchy(current_entities(spark, folder), "id", "parents", whole)
+def entity_hierarchy(spark: SparkSession, folder: str) -> Hierarchy:
+    return hierarchy(current_entities(spark, folder), "id", "parents")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return entity_hierarchy(spark, folder, whole=False).cyclic.select(F.col("id").alias("wikidata_id"))
+    return entity_hierarchy(spark, folder).cyclic.select(F.col("id").alias("wikidata_id"))
 
 
 def p1_hierarchy(spark: SparkSession, folder: str) -> DataFrame:
-    h = entity_hierarchy(spark, folder)
-    out = h.summary(h.work.keep(h.paths(), "paths"))
+    out = entity_hierarchy(spark, folder).summary()
     return out.select(F.col("id").alias("wikidata_id"), "depth", "max_depth", "n_paths", F.array_join("roots", ",").alias("roots"), "on_cycle", "under_cycle", "n_descendants", "missing")
 
 
@@ -41,8 +40,7 @@ def p1_paths(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_descendants(spark: SparkSession, folder: str) -> DataFrame:
-    h = entity_hierarchy(spark, folder)
-    return h.descendants(h.work.keep(h.paths(), "paths")).select(F.col("id").alias("wikidata_id"), F.col("descendant").alias("descendant_id"), "distance")
+    return entity_hierarchy(spark, folder).descendants().select(F.col("id").alias("wikidata_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 def facts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[str, str, bool]]]:

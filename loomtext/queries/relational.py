@@ -286,8 +286,8 @@ def set_intersect_except(spark, folder):
 
 
 @query(f"""with recursive e as (select distinct id as node, {_ID.format('p', 'Q')} as parent from (select {_ID.format('wikidata_id', 'Q')} as id, unnest(superclasses) as p from entities) where id <> '' and {_ID.format('p', 'Q')} <> ''),
- h as (select node, parent as ancestor, 1 as d from e union select h.node, e.parent, d + 1 from h join e on h.ancestor = e.node where d <= 20)
-select distinct node, ancestor from h""")
+ h as (select node, parent as ancestor from e union select h.node, e.parent from h join e on h.ancestor = e.node)
+select node, ancestor from h""")
 def graph_hull(spark, folder):
     e = table(spark, folder, "entities").select(kb_id(F.col("wikidata_id"), "Q").alias("node"), F.explode("superclasses").alias("p")).select("node", kb_id(F.col("p"), "Q").alias("parent"))
     return transitive_hull(e)

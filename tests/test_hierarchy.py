@@ -1,15 +1,14 @@
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from loomtext.operators.closure import transitive_hull
 from loomtext.operators.hierarchy import hierarchy
 
 
-def run(spark, parents: dict[str, list], whole=True):
+def run(spark, parents: dict[str, list]):
     df = spark.createDataFrame([(k, v, "x") for k, v in parents.items()] or [], "node string, up array<string>, id string")
-    return hierarchy(df, "node", "up", whole)
+    return hierarchy(df, "node", "up")
 
 
 def brute(parents):
@@ -44,6 +43,19 @@ def check(spark, parents):
         got.setdefault(r["id"], []).append(tuple(r["path"]))
     assert {r["id"] for r in h.cyclic.collect()} == cyclic
     assert {k: sorted(v) for k, v in got.items()} == paths
+    rows = {r["id"]: r for r in h.summary().collect()}
+    assert set(rows) == set(paths)
+    for k, ways in paths.items():
+        r = rows[k]
+        assert (r["depth"], r["max_depth"], r["n_paths"]) == (min(map(len, ways)) - 1, max(map(len, ways)) - 1, len(ways)), k
+        assert r["roots"] == sorted({w[0] for w in ways}) and r["on_cycle"] == (k in cyclic), k
+    want = {}
+    for k, ways in paths.items():
+        for w in ways:
+            for i, a in enumerate(w[:-1]):
+                want[a, k] = min(want.get((a, k), len(w)), len(w) - 1 - i)
+    below = [(r["id"], r["descendant"], r["distance"]) for r in h.descendants().collect()]
+    assert len(below) == len(want) and {(a, b): d for a, b, d in below} == want
 
 
 def test_random_graphs(spark):
@@ -66,7 +78,7 @@ def test_long_chain_and_cycles(spark):
 def test_nulls_repeats_missing_and_clashing_names(spark):
     parents = {"a": None, "b": ["a", "a", None, "gone"], "c": ["gone"], "d": []}
     h = run(spark, parents)
-    rows = {r["id"]: r for r in h.summary(h.paths()).collect()}
+    rows = {r["id"]: r for r in h.summary().collect()}
     assert rows["b"]["depth"] == 1 and rows["b"]["missing"] == 1 and rows["b"]["roots"] == ["a"]
     assert rows["c"]["depth"] == 0 and rows["c"]["missing"] == 1
     assert rows["a"]["n_descendants"] == 1 and not rows["a"]["on_cycle"]
@@ -74,7 +86,7 @@ def test_nulls_repeats_missing_and_clashing_names(spark):
 
 def test_empty(spark):
     h = run(spark, {})
-    assert h.paths().count() == 0 and h.cyclic.count() == 0 and h.summary(h.paths()).count() == 0
+    assert h.paths().count() == 0 and h.cyclic.count() == 0 and h.summary().count() == 0
 
 
 def test_hot_parent(spark):
@@ -83,8 +95,53 @@ def test_hot_parent(spark):
     assert h.paths().where(F.size("path") == 2).count() == 500
 
 
-@pytest.mark.parametrize("rounds,expected", [(1, 4), (20, 6)])
-def test_hull_depth(spark, rounds, expected):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("x", None)], "node string, parent string")
-    n = transitive_hull(edges, rounds).count()
-    assert n == (5 if rounds == 1 else 6)
+def test_diamonds_without_listing_paths(spark):
+    parents = {"a0": []}
+    for i in range(40):
+        parents |= {f"b{i}": [f"a{i}"], f"c{i}": [f"a{i}"], f"a{i + 1}": [f"b{i}", f"c{i}"]}
+    h = run(spark, parents)
+    assert len(h.rounds()) < 25
+    rows = {r["id"]: r for r in h.summary().collect()}
+    assert (rows["a40"]["depth"], rows["a40"]["n_paths"], rows["a40"]["roots"]) == (80, 2**40, ["a0"])
+    assert rows["a0"]["n_descendants"] == 120 and rows["b0"]["n_descendants"] == 118
+    far = run(spark, parents | {f"{x}{i}": [f"{y}{i - (x == 'a')}" for y in ys] for i in range(41, 70) for x, ys in (("a", "bc"),)} | {f"{x}{i}": [f"a{i}"] for i in range(40, 70) for x in "bc"})
+    assert {r["id"]: r["n"] for r in far.reach().collect()}["a69"] is None
+
+
+def lanes(n, width=2):
+    return {f"{i}.{k}": [f"{(i + 1) % n}.{j}" for j in range(width)] for i in range(n) for k in range(width)}
+
+
+def test_rings_take_few_tables(spark):
+    written = []
+    for n in (16, 256):
+        h = run(spark, lanes(n))
+        assert h.cyclic.count() == 2 * n
+        written.append(h.work._n)
+    assert written[1] < written[0] + 25, written
+
+
+def test_cycles_that_hang_together(spark):
+    """Rings joined by single links, ladders between them, and cycles with ways out at each node."""
+    parents = lanes(5) | {f"x{k}": v for k, v in {f"{i}": [f"x{i - 1}"] for i in range(1, 9)}.items()} | {"x0": ["0.0"]}
+    parents["y"] = ["x8", "y2"]
+    parents |= {"y2": ["y"], "top": [], "0.0": ["1.0", "1.1", "top"]}
+    parents |= {f"z{i}": [f"z{(i + 1) % 12}", "0.1"] for i in range(12)} | {"u": ["z3", "z7"], "v": ["u"], "w": ["v", "y"]}
+    cyclic, _ = brute(parents)
+    assert {r["id"] for r in run(spark, parents).cyclic.collect()} == cyclic
+    rng = random.Random(5)
+    for n, m in ((30, 45), (60, 80), (25, 70)):
+        names = [f"n{i}" for i in range(n)]
+        graph = {a: [] for a in names}
+        for _ in range(m):
+            graph[rng.choice(names)].append(rng.choice(names))
+        cyclic, _ = brute(graph)
+        assert {r["id"] for r in run(spark, graph).cyclic.collect()} == cyclic
+
+
+def test_hull_of_a_long_chain_and_a_cycle(spark):
+    edges = [(f"n{i}", f"n{i + 1}") for i in range(60)] + [("x", None), ("a", "b"), ("b", "a")]
+    got = {tuple(r) for r in transitive_hull(spark.createDataFrame(edges, "node string, parent string")).collect()}
+    assert got == {(f"n{i}", f"n{j}") for i in range(60) for j in range(i + 1, 61)} | {("a", "b"), ("b", "a"), ("a", "a"), ("b", "b")}
+    short = transitive_hull(spark.createDataFrame(edges, "node string, parent string"), steps=2).collect()
+    assert len(short) == 60 + 59 + 4
