@@ -1,12 +1,12 @@
 """Same or near-same records across splits.
 
 Records are canonicalised (compatibility forms, case, marks, punctuation and white space don't
-count) and hashed. Records with equal sets of word runs form one class, found by joining
-evaluation hashes with training hashes. For near copies the runs of words themselves are hashed and joined:
-each class is reduced to its runs that occur on both sides, ordered from rare to common, and only
+count) and hashed. Equal hashes make a class, and joining the hashes of held-out records with those of
+training records gives the equal ones. For near copies the runs of words of each class are hashed and joined as well:
+a class is reduced to the runs that occur on both sides, ordered from rare to common, and only
 the prefix that two sets above the threshold must share takes part in the join; sizes and
 positions rule out most candidates, and the common runs of the others are counted exactly.
-Only classes are compared; copies are expanded at the very end.
+Only classes are compared and linked; rows are counted by class, and copies are expanded in `pairs` alone.
 """
 
 from __future__ import annotations
@@ -37,67 +37,92 @@ def words(text: str) -> list[str]:
     return _ANY.findall(_MARKS.sub("", unicodedata.normalize("NFKD", _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower())))
 
 
-def run_hashes(text: str | None, k: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the runs of k consecutive words."""
-    w = words(text) if text else []
+_CANON = T.StructType([T.StructField("sig", T.BinaryType()), T.StructField("canon", T.StringType())])
+
+
+@F.arrow_udf(_CANON)
+def canonical(text: pa.Array) -> pa.Array:
+    """struct(sig, canon): a text's words with single spaces, and their hash; null sig without words."""
+    canon = [" ".join(words(t)) if t else "" for t in text.to_pylist()]
+    sig = [hashlib.blake2b(c.encode("utf-8", "surrogatepass"), digest_size=16).digest() if c else None for c in canon]
+    return pa.StructArray.from_arrays([pa.array(sig, pa.binary()), pa.array(canon, pa.string())], ["sig", "canon"])
+
+
+def run_hashes(canon: str | None, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the runs of k consecutive words of a canonical text."""
+    w = canon.split(" ") if canon else []
     if len(w) < k:
         return np.zeros(0, np.int64)
     digest = xxhash.xxh3_64_intdigest
     return np.unique(np.array([digest(" ".join(run)) for run in zip(*(w[i:] for i in range(k)))], np.uint64).view(np.int64))
 
 
-_RUNS = T.StructType([T.StructField("sig", T.StringType()), T.StructField("runs", T.ArrayType(T.LongType()))])
-
+def runs_of(canon: Column, k: int) -> Column:
+    """array<bigint>: the hashes of a canonical text's runs of k words."""
 
-def runs_of(text: Column, k: int) -> Column:
-    """struct(sig, runs): the hashes of a text's runs of k words and a hash of them all; null sig without runs."""
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def f(canon: pa.Array) -> pa.Array:
+        found = [run_hashes(t, k) for t in canon.to_pylist()]
+        ends = np.zeros(len(found) + 1, np.int64)
+        np.cumsum([len(x) for x in found], out=ends[1:])
+        return pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.zeros(0, np.int64))).cast(pa.list_(pa.int64()))
 
-    @F.arrow_udf(_RUNS)
-    def f(text: pa.Array) -> pa.Array:
-        out = []
-        for t in text.to_pylist():
-            h = run_hashes(t, k)
-            out.append({"sig": hashlib.blake2b(h.tobytes(), digest_size=16).hexdigest() if len(h) else None, "runs": h})
-        return pa.array(out, pa.struct([("sig", pa.string()), ("runs", pa.list_(pa.int64()))]))
-
-    return f(text)
+    return f(canon)
 
 
 class CrossSplit:
     """Overlaps of the rows of df (id, text, held) between held-out rows and the others.
 
-    ids are unique and not null. Rows with fewer than k words take no part. Two rows match if
+    Null ids are dropped; of several rows of an id that with the greatest `order` counts, ties by
+    content. Rows without words take no part, and those with fewer than k only as equal ones. Two rows match if
     their sets of runs of k words have at least `num / den` of their union in common. An empty
     table gives empty results.
     """
 
-    def __init__(self, df: DataFrame, k: int = 3, num: int = 1, den: int = 2):
-        self.num, self.den = num, den
+    def __init__(self, df: DataFrame, k: int = 3, num: int = 1, den: int = 2, order: Column | None = None, about: dict[str, Column] | None = None):
+        self.num, self.den, self.k, self._near = num, den, k, None
         self.work = Workspace(df.sparkSession, "overlap")
-        rows = df.select("id", F.coalesce("held", F.lit(False)).alias("held"), runs_of(F.col("text"), k).alias("r")).select("id", "held", "r.sig", "r.runs")
+        about = about or {}
+        rows = df.select("id", (F.lit(0) if order is None else order).alias("order"), F.coalesce("held", F.lit(False)).alias("held"), *[c.alias(n) for n, c in about.items()], canonical(F.col("text")).alias("c"))
         # a test before the table is written would be pushed below the hashing, and it be done twice
-        rows = self.work.keep(rows, "runs").where("sig is not null")
-        #: (id, held, sig)
-        self.members = rows.select("id", "held", "sig")
-        self.classes = rows.groupBy("sig").agg(F.max_by("runs", "id").alias("runs"), F.max(F.col("held").cast("int")).alias("e"), F.max((~F.col("held")).cast("int")).alias("t"))
+        rows = self.work.keep(rows.select("id", "order", "held", *about, "c.sig", "c.canon"), "canonical")
+        best = F.max(F.struct("order", "sig", "held", *about)).alias("r")
+        #: (id, held, sig, about...)
+        self.members = self.work.keep(rows.where("id is not null").groupBy("id").agg(best).select("id", "r.held", "r.sig", *[f"r.{n}" for n in about]), "members")
+        sides = self.members.where("sig is not null").groupBy("sig").agg(F.max(F.col("held").cast("int")).alias("e"), F.max((~F.col("held")).cast("int")).alias("t"))
+        texts = rows.where("sig is not null").groupBy("sig").agg(F.max("canon").alias("canon"))
+        # the number's lowest bits tell the sides that have members
+        number = F.monotonically_increasing_id() * 4 + F.col("e") * 2 + F.col("t")
+        classes = texts.join(sides, "sig").select("sig", "e", "t", runs_of(F.col("canon"), k).alias("runs"))
+        #: (c, sig, n, runs): n distinct runs
+        self.classes = self.work.keep(classes.select(number.alias("c"), "sig", F.size("runs").alias("n"), "runs"), "classes")
 
     def _needed(self, a: str, b: str) -> Column:
         """The least number of common runs of sets of sizes a and b."""
         whole = self.num * (F.col(a) + F.col(b))
         return ((whole + (self.num + self.den - 1)) / (self.num + self.den)).cast("long")
 
+    def same(self) -> DataFrame:
+        """(sig, n): classes with rows on both sides."""
+        return self.classes.where(F.col("c").bitwiseAND(F.lit(3)) == 3).select("sig", "n")
+
     def near(self) -> DataFrame:
-        """(held_sig, train_sig, common, n_held, n_train): different classes above the threshold.
+        """(held_sig, train_sig, common, n_held, n_train): different classes above the threshold; sets of runs may be equal."""
+        if self._near is None:
+            self._near = self.work.keep(self._linked(), "near")
+        return self._near
 
-        Rows of single runs hold two numbers: the run's hash and the class's number in the
-        written table, whose lowest bits tell the sides that have members.
-        """
-        number = F.monotonically_increasing_id() * 4 + F.col("e") * 2 + F.col("t")
-        classes = self.work.keep(self.classes.select(number.alias("c"), "sig", F.size("runs").alias("n"), "runs"), "classes")
+    def _linked(self) -> DataFrame:
+        classes = self.classes.where("n > 0")
         e, t = F.shiftright("c", 1).bitwiseAND(F.lit(1)), F.col("c").bitwiseAND(F.lit(1))
+        # which runs occur on both sides is told by so many bits of their hashes that few meet by chance; the counting below uses all
+        runs = max(1, int(classes.agg(F.sum("n").alias("n")).first()["n"] or 0))
+        short = F.shiftrightunsigned("h", 64 - min(64, runs.bit_length() + 6))
         each = classes.select("c", F.explode("runs").alias("h"))
-        both = each.groupBy("h").agg(F.sum(F.shiftleft(e, 32) + t).alias("s")).select("h", F.shiftright("s", 32).alias("ne"), F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("nt")).where("ne > 0 and nt > 0")
-        common = each.join(both.select("h", (F.col("ne") + F.col("nt")).alias("df")), "h").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
+        both = each.groupBy(short.alias("b")).agg(F.sum(F.shiftleft(e, 32) + t).alias("s")).select("b", F.shiftright("s", 32).alias("ne"), F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("nt")).where("ne > 0 and nt > 0")
+        # once written, its size decides how it is joined
+        both = self.work.keep(both.select("b", (F.col("ne") + F.col("nt")).alias("df")), "both")
+        common = each.withColumn("b", short).join(both, "b").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
         least = F.ceil(F.col("n") * self.num / self.den)
         ordered = common.join(classes.select("c", "n"), "c").select("c", "n", F.size("s").alias("m"), F.transform("s", lambda x: x["h"]).alias("s"), (F.size("s") - least + 1).cast("int").alias("p")).where("p > 0")
         ordered = self.work.keep(ordered, "ordered")
@@ -112,11 +137,39 @@ class CrossSplit:
         named = found.join(classes.select(F.col("c").alias("a"), F.col("sig").alias("held_sig")), "a").join(classes.select(F.col("c").alias("b"), F.col("sig").alias("train_sig")), "b")
         return named.select("held_sig", "train_sig", "common", F.col("na").alias("n_held"), F.col("nb").alias("n_train"))
 
+    def links(self, short: bool = False) -> DataFrame:
+        """(held_sig, train_sig, similarity, same): linked classes, and classes with rows on both sides as linked to themselves.
+
+        short: those of fewer than k words too.
+        """
+        near = self.near().select("held_sig", "train_sig", (F.col("common") / (F.col("n_held") + F.col("n_train") - F.col("common"))).alias("similarity"), F.lit(False).alias("same"))
+        same = self.same() if short else self.same().where("n > 0")
+        return near.unionByName(same.select(F.col("sig").alias("held_sig"), F.col("sig").alias("train_sig"), F.lit(1.0).alias("similarity"), F.lit(True).alias("same")))
+
     def pairs(self) -> DataFrame:
         """(held_id, train_id, similarity): every matching pair of a held-out and another row; 1.0 for equal sets."""
-        near = self.near().select("held_sig", "train_sig", (F.col("common") / (F.col("n_held") + F.col("n_train") - F.col("common"))).alias("similarity"))
-        same = self.classes.where("e = 1 and t = 1").select(F.col("sig").alias("held_sig"), F.col("sig").alias("train_sig"), F.lit(1.0).alias("similarity"))
-        links = near.unionByName(same)
         held = self.members.where("held").select(F.col("sig").alias("held_sig"), F.col("id").alias("held_id"))
         train = self.members.where("not held").select(F.col("sig").alias("train_sig"), F.col("id").alias("train_id"))
-        return links.join(held, "held_sig").join(train, "train_sig").select("held_id", "train_id", "similarity")
+        return self.links().join(held, "held_sig").join(train, "train_sig").select("held_id", "train_id", "similarity")
+
+    def membership(self) -> DataFrame:
+        """(id, held, class_id, n_links): each row's class, named by its least id, and the number of classes of the other side that it is linked to, its own included.
+
+        Rows without words have a null class and no links.
+        """
+        classes = self.members.where("sig is not null").groupBy("sig").agg(F.min("id").alias("class_id"))
+        links = self.links(short=True)
+        ends = links.select(F.lit(True).alias("held"), F.col("held_sig").alias("sig")).unionByName(links.select(F.lit(False).alias("held"), F.col("train_sig").alias("sig")))
+        n = ends.groupBy("sig", "held").agg(F.count("*").alias("n_links"))
+        return self.members.join(classes, "sig", "left").join(n, ["sig", "held"], "left").select("id", "held", "class_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+    def counts(self, held_by: list[str], train_by: list[str]) -> DataFrame:
+        """(held_by..., train_..., n_pairs, n_texts, n_same): matching pairs, held-out rows in them, and pairs of equal rows, by columns of `about`.
+
+        Rows are counted per class before classes meet, so copies cost nothing. Equal rows of fewer than k words count too.
+        """
+        train = self.members.where("not held and sig is not null").groupBy(F.col("sig").alias("train_sig"), *[F.col(c).alias(f"train_{c}") for c in train_by]).agg(F.count("*").alias("nt"))
+        held = self.members.where("held and sig is not null").groupBy(F.col("sig").alias("held_sig"), *held_by).agg(F.count("*").alias("nh"))
+        names = [f"train_{c}" for c in train_by]
+        met = self.links(short=True).join(train, "train_sig").groupBy("held_sig", *names).agg(F.sum("nt").alias("nt"), F.sum(F.when(F.col("same"), F.col("nt")).otherwise(0)).alias("ns"))
+        return met.join(held, "held_sig").groupBy(*held_by, *names).agg(F.sum(F.col("nh") * F.col("nt")).alias("n_pairs"), F.sum("nh").alias("n_texts"), F.sum(F.col("nh") * F.col("ns")).alias("n_same"))

@@ -11,7 +11,7 @@ from loomtext.llm import abuse
 from loomtext.llm.bpe import token_counts, token_ids
 from loomtext.llm.mixture import mix
 from loomtext.llm.overlap import CrossSplit
-from loomtext.llm.splitting import split_texts
+from loomtext.llm.splitting import STOPS, WS, split_texts
 from loomtext.workspace import Workspace
 
 
@@ -39,7 +39,8 @@ def _split(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _split(spark, folder).where("stretch > max_len").select("text_idx")
+    """Texts of which the tree had to cut a stretch above the limit; one that only the overlap makes too long doesn't count."""
+    return _split(spark, folder).where("opened > max_len").select("text_idx")
 
 
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,22 +49,37 @@ def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("text_idx", "source", "piece", F.col("p.start").alias("start_pos"), F.col("p.end").alias("end_pos"), F.col("p.forced").alias("forced"), F.substring(F.col("text"), F.col("p.start") + 1, F.col("p.end") - F.col("p.start")).alias("text"))
 
 
-def _overlap(spark: SparkSession, folder: str) -> tuple[CrossSplit, DataFrame]:
-    t = _texts(spark, folder, "text", "source", "is_test", "_testset")
+def p3_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Per text what its pieces amount to: the hash of what they rebuild, whether all keep the limit, share the overlap, and end at boundaries, and whether a longer stretch was cut."""
+    end = lambda i: F.coalesce(F.get("pieces", i - 1)["end"], F.lit(0))
+    new = F.transform("pieces", lambda p, i: F.substring(F.col("text"), end(i) + 1, p["end"] - end(i)))
+    longest = F.coalesce(F.array_max(F.transform("pieces", lambda p: p["end"] - p["start"])), F.lit(0))
+    shares = F.forall(F.transform("pieces", lambda p, i: (i == 0) | (p["start"] <= F.greatest(F.lit(0), end(i) - F.col("overlap")))), lambda x: x)
+    natural = F.forall("pieces", lambda p: p["forced"] | (p["end"] == F.length("text")) | F.substring(F.col("text"), p["end"], F.lit(2)).rlike(f"[{WS}]|^[{STOPS}]"))
+    s = _split(spark, folder).where("pieces is not null")
+    return s.select("text_idx", F.md5(F.array_join(new, "")).alias("rebuilt"), F.coalesce(longest <= F.col("max_len"), F.lit(True)).alias("fits"), F.coalesce(shares, F.lit(True)).alias("shares"), natural.alias("natural"), F.coalesce(F.col("opened") > F.col("max_len"), F.lit(False)).alias("cut"))
+
+
+def _overlap(spark: SparkSession, folder: str) -> CrossSplit:
+    t = _table(spark, folder, "texts")
     held = F.coalesce("is_test", F.lit(False)) | (F.coalesce("_testset", F.lit(0)) > 0)
-    return CrossSplit(t.select(F.col("text_idx").alias("id"), "text", held.alias("held")), k=3, num=1, den=2), t
+    about = {"split": F.coalesce("_testset", F.lit(-1)), "source": F.coalesce(_name("source"), F.lit(""))}
+    rows = t.select(F.col("text_idx").alias("id"), "text", held.alias("held"), "ingested_at", *[c.alias(n) for n, c in about.items()])
+    return CrossSplit(rows, k=3, num=1, den=2, order=F.col("ingested_at"), about={n: F.col(n) for n in about})
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return _overlap(spark, folder)[0].pairs().select(F.least("held_id", "train_id").alias("text_idx_a"), F.greatest("held_id", "train_id").alias("text_idx_b"))
+    return _overlap(spark, folder).pairs().select(F.least("held_id", "train_id").alias("text_idx_a"), F.greatest("held_id", "train_id").alias("text_idx_b"))
 
 
 def p5_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Pairs and evaluation texts with a copy in training, per split (`_testset`, -1 where null) and sources; n_same counts equal ones."""
-    cross, t = _overlap(spark, folder)
-    about = t.select("text_idx", F.coalesce("_testset", F.lit(-1)).alias("split"), F.coalesce(_name("source"), F.lit("")).alias("source"))
-    held, train = about.select(F.col("text_idx").alias("held_id"), "split", "source"), about.select(F.col("text_idx").alias("train_id"), F.col("source").alias("train_source"))
-    return cross.pairs().join(held, "held_id").join(train, "train_id").groupBy("split", "source", "train_source").agg(F.count("*").alias("n_pairs"), F.countDistinct("held_id").alias("n_texts"), F.count_if(F.col("similarity") == 1).alias("n_same"))
+    """Pairs and evaluation texts with a copy in training, per split (`_testset`, -1 where null) and sources; n_same counts equal ones, which may have fewer than three words."""
+    return _overlap(spark, folder).counts(["split", "source"], ["source"])
+
+
+def p5_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per text: its class of equal canonical texts, named by the least text_idx, and the number of classes of the other side linked to it."""
+    return _overlap(spark, folder).membership().select(F.col("id").alias("text_idx"), "held", "class_id", "n_links")
 
 
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,11 +146,30 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return s.agg(F.count("*").alias("n_docs"), F.count_if(F.col("s.found")).alias("n_found"), F.avg(F.col("s.found").cast("int")).alias("rate"), *[F.avg(f"s.{c}").alias(c) for c in abuse.CLASSES])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p5_found, p5_counts, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_cover, p5_found, p5_counts, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
+_NOW = "now as (select * from (select *, row_number() over (partition by text_idx order by ingested_at desc nulls last, text desc nulls last) as rn from texts where text_idx is not null) where rn = 1)"
+# words as runs of letters and digits; of compatibility forms, the tables hold full-width digits
+_OVERLAP = rf"""{_NOW},
+ w as (select text_idx, coalesce(is_test, false) or coalesce(_testset, 0) > 0 as held, coalesce(_testset, -1) as split, coalesce(lower(trim(source)), '') as source,
+   regexp_extract_all(lower(strip_accents(translate(text, '０１２３４５６７８９', '0123456789'))), '[\p{{L}}\p{{N}}]+') as ws from now),
+ m as (select *, array_to_string(ws, ' ') as canon, list_distinct([array_to_string(ws[i:i+2], ' ') for i in range(1, len(ws) - 1)]) as runs from w),
+ c as (select canon, any_value(len(runs)) as n, min(text_idx) as class_id, bool_or(held) as e, bool_or(not held) as t, any_value(runs) as runs from m where canon <> '' group by canon),
+ r as (select canon, n, e, t, unnest(runs) as run from c where n > 0),
+ near as (select a.canon as hc, b.canon as tc, count(*) as common from r a join r b using (run) where a.e and b.t and a.canon <> b.canon group by a.canon, b.canon, a.n, b.n having 2 * count(*) >= a.n + b.n - count(*)),
+ links as (select hc, tc, false as same from near union all select canon, canon, true from c where e and t)"""
+
 SQL = {
     "p3_found": rf"""select distinct text_idx from (select text_idx, max_len_text as m, unnest(regexp_extract_all(text, '[^{_WS}。！？]*[。！？]|[^{_WS}。！？]+')) as run
       from texts join window_config using (source)) where length(run) > m""",
+    "p3_cover": rf"""select text_idx, md5(text) as rebuilt, true as fits, true as shares, true as natural, coalesce(list_max([length(x) for x in regexp_extract_all(text, '[^{_WS}。！？]*[。！？]|[^{_WS}。！？]+')]) > max_len_text, false) as cut
+      from (select distinct text_idx, text, source from texts where text is not null and text_idx is not null) left join window_config using (source)""",
+    "p5_found": f"""with {_OVERLAP} select least(a.text_idx, b.text_idx) as text_idx_a, greatest(a.text_idx, b.text_idx) as text_idx_b
+      from links join c on c.canon = hc and n > 0 join m a on a.canon = hc and a.held join m b on b.canon = tc and not b.held""",
+    "p5_counts": f"""with {_OVERLAP} select a.split, a.source, b.source as train_source, count(*) as n_pairs, count(distinct a.text_idx) as n_texts, count(*) filter (same) as n_same
+      from links join m a on a.canon = hc and a.held join m b on b.canon = tc and not b.held group by a.split, a.source, b.source""",
+    "p5_classes": f"""with {_OVERLAP} select text_idx, held, class_id, case when held then (select count(*) from links where hc = m.canon) else (select count(*) from links where tc = m.canon) end as n_links
+      from m left join c on c.canon = m.canon""",
 }

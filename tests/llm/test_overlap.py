@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from loomtext.llm.overlap import CrossSplit, words
 
 VOCABULARY = [f"w{i}" for i in range(30)]
@@ -53,3 +55,27 @@ def test_threshold_is_inclusive(spark):
 
 def test_empty(spark):
     assert run(spark, []) == {}
+
+
+def test_equal_runs_are_not_equal_texts(spark):
+    rows = [("a", "x y z x y z", True), ("b", "x y z x y z x y z", False), ("c", "X, y z! x y Z", False), ("d", "hi", True), ("e", "Hi!", False), ("f", None, True)]
+    df = spark.createDataFrame(rows, "id string, text string, held boolean").withColumn("g", F.lit("g"))
+    cross = CrossSplit(df, about={"g": F.col("g")})
+    assert {(r["held_id"], r["train_id"]): r["similarity"] for r in cross.pairs().collect()} == {("a", "b"): 1.0, ("a", "c"): 1.0}
+    assert [tuple(r) for r in cross.counts(["g"], ["g"]).collect()] == [("g", "g", 3, 2, 2)]
+    got = {r["id"]: (r["class_id"], r["n_links"]) for r in cross.membership().collect()}
+    assert got == {"a": ("a", 2), "b": ("b", 1), "c": ("a", 1), "d": ("d", 1), "e": ("d", 1), "f": (None, 0)}
+
+
+def test_many_copies_are_counted_without_pairs(spark):
+    n = 100_000
+    df = spark.range(2 * n).select(F.col("id").cast("string").alias("id"), F.lit("one text that was copied very often").alias("text"), (F.col("id") < n).alias("held"), F.lit("s").alias("s"))
+    cross = CrossSplit(df, about={"s": F.col("s")})
+    assert [tuple(r) for r in cross.counts(["s"], ["s"]).collect()] == [("s", "s", n * n, n, n * n)]
+    assert cross.links().count() == 1 and cross.membership().where("class_id = '0' and n_links = 1").count() == 2 * n
+
+
+def test_the_latest_row_of_an_id_counts(spark):
+    rows = [("a", "one two three four", True, 1), ("a", "five six seven eight", True, 2), ("b", "one two three four", False, None), ("c", "five six seven eight", False, 1), (None, "one two three four", True, 3)]
+    df = spark.createDataFrame(rows, "id string, text string, held boolean, at int")
+    assert [(r["held_id"], r["train_id"]) for r in CrossSplit(df, order=F.col("at")).pairs().collect()] == [("a", "c")]
