@@ -3,7 +3,7 @@
 Records are canonicalised (compatibility forms, case, marks, punctuation and white space don't
 count) and hashed. Equal hashes make a class, and joining the hashes of held-out records with those of
 training records gives the equal ones. For near copies the runs of words of each class are hashed and joined as well:
-a class is reduced to the runs that occur on both sides, ordered from rare to common, and only
+a class is reduced to the runs that may occur on both sides, ordered from rare to common by counts kept in a table of fixed size, and only
 the prefix that two sets above the threshold must share takes part in the join; sizes and
 positions rule out most candidates, and the common runs of the others are counted exactly.
 Only classes are compared and linked; rows are counted by class, and copies are expanded in `pairs` alone.
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from pyspark.sql import types as T
 
 from loomtext.workspace import Workspace
 
+#: Bits of a run's hash that name its slot when runs are counted to order them.
+SLOTS = 20
 _ASCII = re.compile(r"[a-z0-9]+")
 _ANY = regex.compile(r"[\p{L}\p{N}]+")
 _MARKS = regex.compile(r"\p{M}+")
@@ -57,6 +60,10 @@ def run_hashes(canon: str | None, k: int) -> np.ndarray:
     return np.unique(np.array([digest(" ".join(run)) for run in zip(*(w[i:] for i in range(k)))], np.uint64).view(np.int64))
 
 
+def _slots(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - SLOTS)).astype(np.int64)
+
+
 def runs_of(canon: Column, k: int) -> Column:
     """array<bigint>: the hashes of a canonical text's runs of k words."""
 
@@ -112,28 +119,60 @@ class CrossSplit:
             self._near = self.work.keep(self._linked(), "near")
         return self._near
 
+    def _levels(self, classes: DataFrame) -> np.ndarray:
+        """How common the runs of each slot of hashes are among all classes, in quarter powers of two from 1; 0 where none is on both sides.
+
+        2**SLOTS bytes whatever the corpus: with more runs than slots the levels tell less, but any order of runs gives the same links.
+        """
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, train = np.zeros(1 << SLOTS, np.int64), np.zeros(1 << SLOTS, np.int64)
+            for batch in batches:
+                c, runs = batch.column("c").to_numpy(), batch.column("runs")
+                slot = _slots(runs.flatten().to_numpy())
+                side = np.repeat(c, np.diff(runs.offsets.to_numpy()))
+                held += np.bincount(slot[side & 2 > 0], minlength=1 << SLOTS)
+                train += np.bincount(slot[side & 1 > 0], minlength=1 << SLOTS)
+            used = np.flatnonzero(held + train)
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(held[used]), pa.array(train[used])], ["slot", "e", "t"])
+
+        sums = classes.select("c", "runs").mapInArrow(count, "slot int, e bigint, t bigint").groupBy("slot").agg(F.sum("e").alias("e"), F.sum("t").alias("t")).where("e > 0 and t > 0")
+        found = sums.select("slot", F.least(F.lit(255), 1 + F.floor(4 * F.log2(F.col("e") + F.col("t")))).cast("short").alias("level")).toArrow()
+        levels = np.zeros(1 << SLOTS, np.uint8)
+        levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
+        return levels
+
     def _linked(self) -> DataFrame:
         classes = self.classes.where("n > 0")
         e, t = F.shiftright("c", 1).bitwiseAND(F.lit(1)), F.col("c").bitwiseAND(F.lit(1))
-        # which runs occur on both sides is told by so many bits of their hashes that few meet by chance; the counting below uses all
+        shared, num, den = classes.sparkSession.sparkContext.broadcast(self._levels(classes)), self.num, self.den
+
+        @F.arrow_udf(T.StructType([T.StructField("s", T.ArrayType(T.LongType())), T.StructField("p", T.IntegerType())]))
+        def ordered_runs(runs: pa.Array) -> pa.Array:
+            levels, s, p = shared.value, [], []
+            for h in runs:
+                h = h.values.to_numpy()
+                level = levels[_slots(h)]
+                on = np.flatnonzero(level)
+                s.append(h[on[np.argsort(level[on], kind="stable")]])
+                p.append(max(0, len(on) + 1 + (-len(h) * num) // den))
+            ends = np.zeros(len(s) + 1, np.int64)
+            np.cumsum([len(x) for x in s], out=ends[1:])
+            lists = pa.LargeListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(s) if s else np.zeros(0, np.int64))).cast(pa.list_(pa.int64()))
+            return pa.StructArray.from_arrays([lists, pa.array(p, pa.int32())], ["s", "p"])
+
+        ordered = self.work.keep(classes.select("c", "n", ordered_runs("runs").alias("o")).select("c", "n", "o.s", "o.p"), "ordered").where("p > 0").withColumn("m", F.size("s"))
+        # so many bits of the hashes are joined that few meet by chance; the counting below uses all
         runs = max(1, int(classes.agg(F.sum("n").alias("n")).first()["n"] or 0))
-        short = F.shiftrightunsigned("h", 64 - min(64, runs.bit_length() + 6))
-        each = classes.select("c", F.explode("runs").alias("h"))
-        both = each.groupBy(short.alias("b")).agg(F.sum(F.shiftleft(e, 32) + t).alias("s")).select("b", F.shiftright("s", 32).alias("ne"), F.col("s").bitwiseAND(F.lit(0xFFFFFFFF)).alias("nt")).where("ne > 0 and nt > 0")
-        # once written, its size decides how it is joined
-        both = self.work.keep(both.select("b", (F.col("ne") + F.col("nt")).alias("df")), "both")
-        common = each.withColumn("b", short).join(both, "b").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("s"))
-        least = F.ceil(F.col("n") * self.num / self.den)
-        ordered = common.join(classes.select("c", "n"), "c").select("c", "n", F.size("s").alias("m"), F.transform("s", lambda x: x["h"]).alias("s"), (F.size("s") - least + 1).cast("int").alias("p")).where("p > 0")
-        ordered = self.work.keep(ordered, "ordered")
-        prefix = ordered.select("c", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("i", "h"))
-        left = prefix.where(e == 1).select("h", F.col("c").alias("a"), F.col("n").alias("na"), (F.col("m") - F.col("i")).alias("ra"))
-        right = prefix.where(t == 1).select("h", F.col("c").alias("b"), F.col("n").alias("nb"), (F.col("m") - F.col("i")).alias("rb"))
+        prefix = ordered.select("c", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("i", "h")).select("c", "n", (F.col("m") - F.col("i")).alias("r"), F.shiftrightunsigned("h", 64 - min(64, runs.bit_length() + 6)).alias("h"))
+        left = prefix.where(e == 1).select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
+        right = prefix.where(t == 1).select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
         fits = (F.col("a") != F.col("b")) & (F.least("ra", "rb") >= self._needed("na", "nb")) & (F.col("na") * self.den >= F.col("nb") * self.num) & (F.col("nb") * self.den >= F.col("na") * self.num)
-        pairs = left.join(right, "h").where(fits).select("a", "b", "na", "nb").distinct()
+        # once written, their size decides how the pairs meet the runs
+        pairs = self.work.keep(left.join(right, "h").where(fits).select("a", "b", "na", "nb").distinct(), "pairs")
         sa, sb = ordered.select(F.col("c").alias("a"), F.col("s").alias("sa")), ordered.select(F.col("c").alias("b"), F.col("s").alias("sb"))
         counted = pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
-        found = counted.where(F.col("common") >= self._needed("na", "nb"))
+        found = self.work.keep(counted.where(F.col("common") >= self._needed("na", "nb")), "found")
         named = found.join(classes.select(F.col("c").alias("a"), F.col("sig").alias("held_sig")), "a").join(classes.select(F.col("c").alias("b"), F.col("sig").alias("train_sig")), "b")
         return named.select("held_sig", "train_sig", "common", F.col("na").alias("n_held"), F.col("nb").alias("n_train"))
 
