@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.operators.shredding import int_of, objects, occurrences, text_of
+from loomtext.operators.shredding import bridge, int_of, objects, occurrences, text_of
 from loomtext.workspace import Workspace
 
 
@@ -33,38 +33,35 @@ class ReportTables:
         number = F.coalesce(int_of(_get("report_number")), int_of(_get("id")))
         keys = F.map_keys("scalars")
         is_record = number.isNotNull() & F.array_contains(keys, "text") & (F.array_contains(keys, "revision") | F.array_contains(keys, "mentions") | F.exists("children", lambda c: c["field"] == "mentions"))
-        records = self.occurrences.where(is_record).select(number.alias("report_number"), F.struct(int_of(_get("revision")).alias("revision"), "received_at", "file_id", "hash").alias("o"))
-        best = records.groupBy("report_number").agg(F.max("o").alias("o")).select("report_number", "o.*")
-        held = self.objects.where(is_record).select("hash", F.coalesce(text_of(_get("text")), F.lit("")).alias("text"), "children")
+        held = work.keep(self.objects.where(is_record).select("hash", number.alias("report_number"), int_of(_get("revision")).alias("revision"), F.coalesce(text_of(_get("text")), F.lit("")).alias("text"), "children"), "records")
+        files = self.occurrences.select("hash", "received_at", "file_id").join(held.select("hash", "report_number", "revision"), "hash")
+        best = files.groupBy("report_number").agg(F.max(F.struct("revision", "received_at", "file_id", "hash")).alias("o")).select("report_number", "o.*")
         #: (report_number, revision, received_at, file_id, hash, text, children)
-        self.reports = best.join(held, "hash")
+        self.reports = work.keep(best.join(held.select("hash", "text", "children"), "hash"), "reports")
 
     def bridge(self) -> DataFrame:
-        from loomtext.operators.shredding import bridge
-
         return bridge(self.objects)
 
-    def _below(self, rows: DataFrame, *keep: str) -> DataFrame:
-        """rows (keep..., hash) with the objects of the hashes."""
-        return rows.join(self.objects, "hash").select(*keep, "scalars", "children")
-
-    def _children(self, rows: DataFrame, field: str | None, *keep: str, place: str = "ordinal") -> DataFrame:
-        held = rows.select(*keep, F.explode("children").alias("c"))
+    def _parts(self, rows: DataFrame, field: str | None, *keep: str, place: str = "ordinal") -> DataFrame:
+        """(keep..., field, place, hash): objects linked to by rows (keep..., children)."""
+        held = rows.select(*keep, F.explode("children").alias("c")).where("c.hash is not null")
         held = held if field is None else held.where(F.col("c.field") == field)
         return held.select(*keep, F.col("c.field").alias("field"), F.col("c.ordinal").alias(place), F.col("c.hash").alias("hash"))
 
+    def _below(self, rows: DataFrame, field: str, *keep: str) -> DataFrame:
+        """(keep..., children) of the objects in a field of rows (keep..., children)."""
+        return self._parts(rows, field, *keep).select(*keep, "hash").join(self.objects.where(F.size("children") > 0).select("hash", "children"), "hash").select(*keep, "children")
+
     def mentions(self) -> DataFrame:
         """(report_number, attribute, pos, mention, start, length, located, agrees): one row per mention object.
 
         located: start and length are both present. agrees: that many code points of the text
         from start are exactly the mention; false for places outside the text or unreadable ones.
         """
-        top = self._below(self._children(self.reports, "mentions", "report_number").select("report_number", "hash"), "report_number")
-        each = self._children(top, None, "report_number", place="pos").withColumnRenamed("field", "attribute")
-        one = self._below(each, "report_number", "attribute", "pos").select(
-            "report_number",
-            F.struct("attribute", "pos", text_of(_get("mention")).alias("mention"), int_of(_get("start")).alias("start"), int_of(_get("length")).alias("length"), (_there("start") & _there("length")).alias("located")).alias("m"),
-        )
+        each = self._parts(self._below(self.reports, "mentions", "report_number"), None, "report_number", place="pos").withColumnRenamed("field", "attribute")
+        # only what a mention needs of an object meets the mentions
+        content = self.objects.select("hash", text_of(_get("mention")).alias("mention"), int_of(_get("start")).alias("start"), int_of(_get("length")).alias("length"), (_there("start") & _there("length")).alias("located"))
+        one = each.join(content, "hash").select("report_number", F.struct("attribute", "pos", "mention", "start", "length", "located").alias("m"))
         # the text meets its mentions once, not once per mention
         grouped = one.groupBy("report_number").agg(F.collect_list("m").alias("ms")).join(self.reports.select("report_number", "text"), "report_number")
 
@@ -75,15 +72,16 @@ class ReportTables:
 
         return grouped.select("report_number", F.explode(F.transform("ms", judged)).alias("m")).select("report_number", "m.*")
 
+    def _rounds(self) -> DataFrame:
+        """(report_number, round, hash)"""
+        return self._parts(self._below(self.reports, "evaluation", "report_number"), "rounds", "report_number", place="round")
+
     def rounds(self) -> DataFrame:
         """(report_number, round, annotator): evaluation rounds in their order."""
-        return self._rounds().select("report_number", "round", text_of(_get("annotator")).alias("annotator"))
-
-    def _rounds(self) -> DataFrame:
-        top = self._below(self._children(self.reports, "evaluation", "report_number").select("report_number", "hash"), "report_number")
-        return self._below(self._children(top, "rounds", "report_number", place="round"), "report_number", "round")
+        return self._rounds().join(self.objects.select("hash", text_of(_get("annotator")).alias("annotator")), "hash").select("report_number", "round", "annotator")
 
     def checks(self) -> DataFrame:
         """(report_number, round, check, attribute, ok, hits): checks of a round in their order, hits as JSON."""
-        each = self._below(self._children(self._rounds(), "checks", "report_number", "round", place="check"), "report_number", "round", "check")
-        return each.select("report_number", "round", "check", text_of(_get("attr")).alias("attribute"), (_get("ok") == "true").alias("ok"), _get("hits").alias("hits"))
+        held = self._rounds().select("report_number", "round", "hash").join(self.objects.where(F.size("children") > 0).select("hash", "children"), "hash")
+        content = self.objects.select("hash", text_of(_get("attr")).alias("attribute"), (_get("ok") == "true").alias("ok"), _get("hits").alias("hits"))
+        return self._parts(held, "checks", "report_number", "round", place="check").join(content, "hash").select("report_number", "round", "check", "attribute", "ok", "hits")

@@ -76,7 +76,7 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_reports(spark: SparkSession, folder: str) -> DataFrame:
-    return reports(spark, folder).reports.select("report_number", "revision", "file_id", "hash", "text")
+    return reports(spark, folder).reports.select("report_number", "revision", "file_id", "text")
 
 
 def p4_mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -92,14 +92,19 @@ def p4_checks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p4_bridge(spark: SparkSession, folder: str) -> DataFrame:
-    return reports(spark, folder).bridge()
+    return reports(spark, folder).bridge().select(F.hex("parent").alias("parent"), "field", "ordinal", "place", F.hex("child").alias("child"), "value")
 
 
 def p4_occurrences(spark: SparkSession, folder: str) -> DataFrame:
-    return reports(spark, folder).occurrences.select("file_id", "at", "hash", "root", "path")
+    return reports(spark, folder).occurrences.select("file_id", "at", F.hex("hash").alias("hash"), "root", "parent")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_paths, p1_descendants, p2_found, p2_wide, p4_found, p4_reports, p4_mentions, p4_rounds, p4_checks, p4_bridge, p4_occurrences)}
+def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
+    """Per file its objects, and those at the top."""
+    return reports(spark, folder).occurrences.groupBy("file_id").agg(F.count("*").alias("n_objects"), F.count("root").alias("n_roots"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_paths, p1_descendants, p2_found, p2_wide, p4_found, p4_reports, p4_mentions, p4_rounds, p4_checks, p4_bridge, p4_occurrences, p4_objects)}
 
 _ID = r"upper(regexp_extract({0}, '(?i)^(?:.*[/:#])?\s*({1}[0-9]+)\s*$', 1))"
 _NOW = f"""
@@ -152,6 +157,10 @@ _RECORDS = """
  ment as (select report_number, attribute, pos, text, json_extract_string(e, '$.mention') as mention, json_extract_string(e, '$.start') as s, json_extract_string(e, '$.length') as l from els where json_type(e) = 'OBJECT'),
  placed as (select *, cast(try_cast(trim(s) as double) as bigint) as st, cast(try_cast(trim(l) as double) as bigint) as le from ment)"""
 
+_ROUNDS = """
+ evals as (select report_number, json_extract(r, '$.evaluation.rounds') as x from best),
+ rounds as (select report_number, cast(i as int) as round, json_extract(x, '$[' || i || ']') as e from (select *, unnest(range(cast(json_array_length(x) as bigint))) as i from evals where json_type(x) = 'ARRAY'))"""
+
 SQL = {
     "p1_found": f"{_REACH} select id as wikidata_id from cyc",
     "p1_paths": f"{_PATHS} select id as wikidata_id, path, root, depth from paths",
@@ -169,4 +178,12 @@ SQL = {
     "p2_found": f"with {_ANSWERS} select s as subject_id, a as attr_id from keyed where single_valued and key is not null group by s, a having count(distinct key) > 1",
     "p4_found": f"with {_RECORDS} select report_number, attribute, pos from placed where s is not null and l is not null and coalesce(not (st >= 0 and le >= 0 and st + le <= length(text) and substring(text, st + 1, le) = mention), true)",
     "p4_mentions": f"with {_RECORDS} select report_number, attribute, pos, mention, st as start, le as length, s is not null and l is not null as located, coalesce(st >= 0 and le >= 0 and st + le <= length(text) and substring(text, st + 1, le) = mention, false) as agrees from placed",
+    "p4_reports": f"with {_RECORDS} select report_number, revision, file_id, coalesce(json_extract_string(r, '$.text'), '') as text from best",
+    "p4_rounds": f"with {_RECORDS}, {_ROUNDS} select report_number, round, json_extract_string(e, '$.annotator') as annotator from rounds",
+    "p4_checks": f"""with {_RECORDS}, {_ROUNDS},
+ checks as (select report_number, round, cast(i as int) as "check", json_extract(e, '$.checks[' || i || ']') as c from (select *, unnest(range(coalesce(cast(json_array_length(e, '$.checks') as bigint), 0))) as i from rounds))
+ select report_number, round, "check", json_extract_string(c, '$.attr') as attribute, json_extract_string(c, '$.ok') = 'true' as ok, cast(json_extract(c, '$.hits') as varchar) as hits from checks""",
+    "p4_objects": """with valid as (select file_id, payload::json as j from annotated_reports where payload is not null and trim(payload) <> '' and json_valid(payload)),
+ tops as (select file_id, case when json_type(j) = 'OBJECT' then 1 else len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) = 'OBJECT')) end as n_roots from valid)
+ select file_id, count(*) as n_objects, any_value(n_roots) as n_roots from valid, json_tree(j) t join tops using (file_id) where t.type = 'OBJECT' group by file_id""",
 }
