@@ -1,12 +1,12 @@
 """Attribute-value rows into wide tables by column-block pivoting.
 
-The attributes are divided into blocks. Each block's facts are gathered by (entity, part,
-attribute, salt), combined before the shuffle, so an entity that holds a third of all rows is
-spread over the salts, and then put on their (entity, part). There the block is pivoted. All
+The attributes are divided into blocks, and the facts written once in a folder per block. Each
+block's facts are gathered by (entity, attribute, salt), combined before the shuffle, so an entity
+that holds a third of all rows is spread over the salts, and then put on their entity. There the block
+is pivoted: the cells of an entity lie in an array in the order of the block's columns, a bitmap tells which
+columns have one, and the number of bits below a column's is its place in the array. All
 blocks are partitioned alike, and so are the distinct entities to which they are joined, so the
 joins need no further exchange.
-
-Parts bound the rows: only a list of more distinct values than a limit has more than one.
 """
 
 from __future__ import annotations
@@ -20,62 +20,56 @@ from pyspark.sql import functions as F
 from loomtext.workspace import Workspace
 
 SALTS = 16
+#: Columns of a block at most, as many as a bitmap has bits.
+MOST_COLUMNS = 62
 
 
-def _parted(facts: DataFrame, rows: DataFrame, lists: Sequence[str], limit: int, work: Workspace) -> DataFrame:
-    """facts with `part` where a cell of `lists` has more than limit distinct keys, which are then spread over several parts; else without.
-
-    Cells with so many `rows` (facts before their keys are worked out) are found first; only for those are the distinct keys counted.
-    """
-    if not lists:
-        return facts
-    rows = rows.where(F.col("attr").isin(list(lists))).groupBy("entity", "attr").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    many, n = work.measure(rows.select("entity", "attr"), "many", n=F.lit(True))
-    if not n["n"]:
-        return facts
-    distinct = facts.join(many, ["entity", "attr"]).groupBy("entity", "attr").agg(F.count_distinct("key").alias("n")).where(F.col("n") > limit)
-    long, n = work.measure(distinct.select("entity", "attr", F.ceil(F.col("n") / limit).cast("int").alias("n_parts")), "long", n=F.lit(True))
-    if not n["n"]:
-        return facts
-    return facts.join(long, ["entity", "attr"], "left").withColumn("part", F.when(F.col("n_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(F.lit(1), "key"), F.col("n_parts")).cast("int"))).drop("n_parts")
+def _block(facts: DataFrame, block: Sequence[tuple[str, str, bool]], typed: dict[str, Callable[[Column], Column]], conflicts: str, partitions: int) -> DataFrame:
+    """(entity, attributes..., conflicts) of facts (entity, pos, key) of one block, in so many partitions by entity; pos numbers its attributes."""
+    bits = sum(1 << i for i, (_, _, one) in enumerate(block) if one)
+    single = F.expr(f"shiftright({bits}L, cast(pos as int)) & 1L") == 1
+    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
+    sets = facts.groupBy("entity", "pos", salt.alias("salt")).agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.collect_set(F.when(~single, F.col("key"))).alias("keys"))
+    cells = sets.repartition(partitions, "entity").groupBy("entity", "pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("keys")).alias("keys"))
+    cell = F.struct("pos", "lo", F.array_sort("keys").alias("keys"))
+    rows = cells.groupBy("entity").agg(
+        F.array_sort(F.collect_list(cell)).alias("cells"), F.bit_or(F.expr("shiftleft(1L, cast(pos as int))")).alias("has"),
+        F.bit_or(F.when(single & (F.col("lo") != F.col("hi")), F.expr("shiftleft(1L, cast(pos as int))")).otherwise(F.lit(0).cast("long"))).alias("bad"),
+    )
 
+    def at(i: int) -> Column:
+        below = F.bit_count(F.col("has").bitwiseAND(F.lit((1 << i) - 1)))
+        return F.when(F.col("has").bitwiseAND(F.lit(1 << i)) != 0, F.get("cells", below))
 
-def _block(facts: DataFrame, block: Sequence[tuple[str, str, bool]], typed: dict[str, Callable[[Column], Column]], on: list[str], conflicts: str) -> DataFrame:
-    """(on..., attributes..., conflicts) of facts (on..., attr, key) of one block."""
-    names = [a for a, _, one in block if one]
-    single = F.col("attr").isin(names) if names else F.lit(False)
-    salt = F.pmod(F.xxhash64("key"), F.lit(SALTS))
-    # a test of a gathered value stays behind the gathering; one of entity or attr would be pushed below, and the reading of ids done twice
-    good = F.bool_or(F.col("entity").isNotNull() & F.col("attr").isin([a for a, _, _ in block])).alias("good")
-    sets = facts.groupBy(*on, "attr", salt.alias("salt")).agg(good, F.min("key").alias("lo"), F.max("key").alias("hi"), F.collect_set(F.when(~single, F.col("key"))).alias("keys")).where("good and lo is not null").drop("good")
-    cells = sets.repartition(*on).groupBy(*on, "attr").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.flatten(F.collect_list("keys")).alias("keys"))
-    cell = F.struct("attr", F.struct("lo", F.array_sort("keys").alias("keys")).alias("v"))
-    rows = cells.groupBy(*on).agg(F.map_from_entries(F.collect_list(cell)).alias("m"), F.collect_list(F.when(single & (F.col("lo") != F.col("hi")), F.col("attr"))).alias(conflicts))
-    at = lambda a: F.try_element_at("m", F.lit(a))
-    columns = [(typed[kind](at(a)["lo"]) if one else F.transform(at(a)["keys"], typed[kind])).alias(a) for a, kind, one in block]
-    return rows.select(*on, *columns, conflicts)
+    columns = [(typed[kind](at(i)["lo"]) if one else F.transform(at(i)["keys"], typed[kind])).alias(a) for i, (a, kind, one) in enumerate(block)]
+    named = F.array_compact(F.array(*[F.when(F.col("bad").bitwiseAND(F.lit(1 << i)) != 0, F.lit(a)) for i, (a, _, one) in enumerate(block) if one]).cast("array<string>"))
+    return rows.select("entity", *columns, F.when(F.col("bad") != 0, named).alias(conflicts))
 
 
-def pivot_wide(facts: DataFrame, attributes: Sequence[tuple[str, str, bool]], typed: dict[str, Callable[[Column], Column]], block_size: int = 256, list_limit: int = 1_000_000) -> DataFrame:
-    """One row per entity with a column per attribute, from facts (entity, attr, key).
+def pivot_wide(facts: DataFrame, attributes: Sequence[tuple[str, str, bool]], typed: dict[str, Callable[[Column], Column]], block_size: int = MOST_COLUMNS) -> DataFrame:
+    """One row per entity with a column per attribute, from facts (entity, attr, key), and `conflicts`.
 
     attributes: (name, type, single-valued); typed: by type a function from the key's Column to
     the cell's. Attributes of facts that aren't listed, and null entities, attributes and keys
     are dropped. A single-valued cell with several distinct keys holds the least and its
-    attribute is named in `conflicts`; cells without facts are null. Rows of one entity beyond
-    part 0 carry on lists of more than list_limit keys. An empty table gives no rows.
+    attribute is named in `conflicts`; cells without facts are null. A list holds every distinct key, however many.
+    A block has at most MOST_COLUMNS columns, whatever block_size. An empty table gives no rows.
     """
     attributes = list(attributes)
     work = Workspace(facts.sparkSession, "wide")
-    wanted = facts.select("entity", "attr", "key")
-    groups = [attributes[at : at + block_size] for at in range(0, len(attributes), block_size)]
-    if len(groups) > 1:
-        # the facts are read and typed once; each block reads its own folder of them
-        number = F.create_map(*[F.lit(x) for i, g in enumerate(groups) for a, _, _ in g for x in (a, i)])
-        wanted = work.keep(wanted.withColumn("block", F.try_element_at(number, F.col("attr"))), "facts", by=("block",))
-    parted = _parted(wanted, facts.where(F.col("entity").isNotNull()), [a for a, _, one in attributes if not one], list_limit, work)
-    on = ["entity", "part"] if "part" in parted.columns else ["entity"]
-    blocks = [_block(parted if len(groups) == 1 else parted.where(F.col("block") == i), g, typed, on, f"conflicts_{i}") for i, g in enumerate(groups)]
-    wide = blocks[0] if len(blocks) == 1 else reduce(lambda a, b: a.join(b, on, "left"), blocks, parted.where("entity is not null and key is not null and block is not null").select(*on).distinct())
+    size = max(1, min(block_size, MOST_COLUMNS))
+    groups = [attributes[at : at + size] for at in range(0, len(attributes), size)]
+    spark = facts.sparkSession
+    # the place of each attribute: as many rows as there are columns
+    places = F.broadcast(spark.createDataFrame([(a, i // size, i % size) for i, (a, _, _) in enumerate(attributes)], "attr string, block int, pos int"))
+    # the facts are read and typed once; each block reads its own folder of them
+    placed = facts.select("entity", "attr", "key").join(places, "attr").select("block", "entity", "pos", "key")
+    written = work.keep(placed, "facts", by=("block",))
+    good = written.where("entity is not null and key is not null")
+    # equal numbers of partitions, so that blocks join where they are
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = [_block(good.where(F.col("block") == i), g, typed, f"conflicts_{i}", partitions) for i, g in enumerate(groups)]
+    entities = good.select("entity").distinct().repartition(partitions, "entity")
+    wide = blocks[0] if len(blocks) == 1 else reduce(lambda a, b: a.join(b, "entity", "left"), blocks, entities)
     every = F.concat(*[F.coalesce(f"conflicts_{i}", F.array().cast("array<string>")) for i in range(len(groups))])
-    return wide.select("entity", (F.col("part") if "part" in on else F.lit(0)).alias("part"), *[f"`{a}`" for a, _, _ in attributes], F.array_sort(every).alias("conflicts"))
+    return wide.select("entity", *[f"`{a}`" for a, _, _ in attributes], F.array_sort(every).alias("conflicts"))

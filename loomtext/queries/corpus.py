@@ -53,7 +53,11 @@ def facts(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[str,
     return typed.select("entity", "attr", value_key(F.col("kind"), F.col("answer")).alias("key")), names
 
 
-def wide(spark: SparkSession, folder: str, block_size: int = 256) -> DataFrame:
+#: Attributes in a block: three blocks of the tables' 24.
+BLOCK = 8
+
+
+def wide(spark: SparkSession, folder: str, block_size: int = BLOCK) -> DataFrame:
     rows, names = facts(spark, folder)
     same = lambda key: key
     return pivot_wide(rows, names, {"item": same, "time": same, "string": same, "quantity": key_to_double}, block_size)
@@ -67,6 +71,29 @@ def p2_wide(spark: SparkSession, folder: str) -> DataFrame:
     return wide(spark, folder).withColumnRenamed("entity", "subject_id")
 
 
+def p2_cells(spark: SparkSession, folder: str) -> DataFrame:
+    """The filled cells of the wide table as text, lists in order by commas, quantities with six decimals; null where a single-valued cell has a conflict."""
+    w = wide(spark, folder)
+    plain = lambda x: x.cast("decimal(38,6)").cast("string")
+    flat = {"array<string>": lambda c: F.array_join(F.array_sort(c), ","), "array<double>": lambda c: F.array_join(F.transform(F.array_sort(c), plain), ","), "double": lambda c: plain(F.col(c))}
+    cells = [F.struct(F.lit(c).alias("attr_id"), flat.get(kind, F.col)(c).alias("value"), F.array_contains("conflicts", c).alias("conflict")) for c, kind in w.dtypes if c not in ("entity", "conflicts")]
+    each = w.select(F.col("entity").alias("subject_id"), F.explode(F.filter(F.array(*cells), lambda x: x["value"].isNotNull())).alias("x"))
+    return each.select("subject_id", "x.attr_id", F.when(~F.col("x.conflict"), F.col("x.value")).alias("value"), "x.conflict")
+
+
+def p2_many(spark: SparkSession, folder: str, copies: int = 50) -> DataFrame:
+    """Thousands of attributes: each fact is put under one of `copies` versions of its attribute, by its subject; per attribute, the subjects that have it and the conflicts."""
+    rows, names = facts(spark, folder)
+    number = F.pmod(F.regexp_extract("entity", "([0-9]+)", 1).cast("long"), F.lit(copies))
+    many = rows.withColumn("attr", F.concat("attr", F.lit("_"), number.cast("string")))
+    same = lambda key: key
+    w = pivot_wide(many, [(f"{a}_{i}", kind, one) for i in range(copies) for a, kind, one in names], {"item": same, "time": same, "string": same, "quantity": key_to_double}, 60)
+    # the columns are counted at once and turned into rows at the end
+    counts = w.agg(F.array(*[F.struct(F.lit(c).alias("attr_id"), F.count(f"`{c}`").alias("n")) for c in w.columns if c not in ("entity", "conflicts")]).alias("c"))
+    bad = w.select(F.explode("conflicts").alias("attr_id")).groupBy("attr_id").agg(F.count("*").alias("n_conflicts"))
+    return counts.select(F.explode("c").alias("x")).select("x.attr_id", F.col("x.n").alias("n_subjects")).where("n_subjects > 0").join(bad, "attr_id", "left").select("attr_id", "n_subjects", F.coalesce("n_conflicts", F.lit(0)).cast("long").alias("n_conflicts"))
+
+
 def reports(spark: SparkSession, folder: str) -> ReportTables:
     return ReportTables(table(spark, folder, "annotated_reports"))
 
@@ -104,7 +131,7 @@ def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
     return reports(spark, folder).occurrences.groupBy("file_id").agg(F.count("*").alias("n_objects"), F.count("root").alias("n_roots"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_paths, p1_descendants, p2_found, p2_wide, p4_found, p4_reports, p4_mentions, p4_rounds, p4_checks, p4_bridge, p4_occurrences, p4_objects)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_paths, p1_descendants, p2_found, p2_wide, p2_cells, p2_many, p4_found, p4_reports, p4_mentions, p4_rounds, p4_checks, p4_bridge, p4_occurrences, p4_objects)}
 
 _ID = r"upper(regexp_extract({0}, '(?i)^(?:.*[/:#])?\s*({1}[0-9]+)\s*$', 1))"
 _NOW = f"""
@@ -129,7 +156,7 @@ _ANSWERS = f"""
  f as (select {_ID.format('_subject_uri', 'Q')} as s, {_ID.format('_attr_uri', 'P')} as a, _answer_uri as v from raw_queries),
  t as (select s, a, value_type as k, single_valued, v from f join attributes on attr_id = a
    where s <> '' and v is not null and lower(trim(v)) not in ('', '-', '--', '?', 'n/a', 'na', 'nan', 'nil', 'none', 'novalue', 'null', 'somevalue', 'unknown') and not trim(v) like '\\_:%' escape '\\'),
- keyed as (select s, a, single_valued, case
+ keyed as (select s, a, single_valued, k, case
    when k = 'item' then nullif({_ID.format('v', 'Q')}, '')
    when k = 'quantity' then case when regexp_matches(v, '^\\s*[+-]?([0-9]{{1,3}}(,[0-9]{{3}})+|[0-9]+)(\\.[0-9]*)?([eE][+-]?[0-9]+)?(\\^\\^.*)?\\s*$') then cast(cast(replace(regexp_replace(v, '\\^\\^.*$', ''), ',', '') as double) as varchar) end
    when k = 'string' then nfc_normalize(trim(v, E' \\t\\n\\r\\u00a0'))
@@ -176,6 +203,15 @@ SQL = {
  dist as (select c, p, 1 as d from up union select x.c, u.p, x.d + 1 from dist x join up u on x.p = u.c)
  select p as wikidata_id, c as descendant_id, min(d) as distance from dist group by p, c""",
     "p2_found": f"with {_ANSWERS} select s as subject_id, a as attr_id from keyed where single_valued and key is not null group by s, a having count(distinct key) > 1",
+    "p2_cells": f"""with {_ANSWERS}, shown as (select s, a, single_valued, k, key, case
+   when k = 'quantity' then cast(cast(try_cast(key as double) as decimal(38,6)) as varchar)
+   when k = 'time' then (case when key like '-%' then '-' else '+' end) || lpad(split_part(ltrim(key, '-'), '|', 1), 4, '0') || '-' || split_part(key, '|', 2) else key end as v from keyed where key is not null),
+ each as (select distinct s, a, single_valued, k, key, v from shown)
+ select s as subject_id, a as attr_id, case when single_valued and count(*) > 1 then null when k = 'quantity' then string_agg(v, ',' order by try_cast(key as double)) else string_agg(v, ',' order by v) end as value, single_valued and count(*) > 1 as conflict
+ from each group by s, a, single_valued, k""",
+    "p2_many": f"""with {_ANSWERS}, m as (select s, single_valued, key, a || '_' || cast(cast(s[2:] as bigint) % 50 as varchar) as a from keyed where key is not null),
+ n as (select s, a, single_valued and count(distinct key) > 1 as bad from m group by s, a, single_valued)
+ select a as attr_id, count(*) as n_subjects, count(*) filter (bad) as n_conflicts from n group by a""",
     "p4_found": f"with {_RECORDS} select report_number, attribute, pos from placed where s is not null and l is not null and coalesce(not (st >= 0 and le >= 0 and st + le <= length(text) and substring(text, st + 1, le) = mention), true)",
     "p4_mentions": f"with {_RECORDS} select report_number, attribute, pos, mention, st as start, le as length, s is not null and l is not null as located, coalesce(st >= 0 and le >= 0 and st + le <= length(text) and substring(text, st + 1, le) = mention, false) as agrees from placed",
     "p4_reports": f"with {_RECORDS} select report_number, revision, file_id, coalesce(json_extract_string(r, '$.text'), '') as text from best",
@@ -185,5 +221,5 @@ SQL = {
  select report_number, round, "check", json_extract_string(c, '$.attr') as attribute, json_extract_string(c, '$.ok') = 'true' as ok, cast(json_extract(c, '$.hits') as varchar) as hits from checks""",
     "p4_objects": """with valid as (select file_id, payload::json as j from annotated_reports where payload is not null and trim(payload) <> '' and json_valid(payload)),
  tops as (select file_id, case when json_type(j) = 'OBJECT' then 1 else len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) = 'OBJECT')) end as n_roots from valid)
- select file_id, count(*) as n_objects, any_value(n_roots) as n_roots from valid, json_tree(j) t join tops using (file_id) where t.type = 'OBJECT' group by file_id""",
+ select o.file_id, n_objects, n_roots from (select file_id, count(*) as n_objects from valid, json_tree(j) t where t.type = 'OBJECT' group by file_id) o join tops on tops.file_id = o.file_id""",
 }

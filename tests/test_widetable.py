@@ -28,7 +28,7 @@ def test_against_brute_force(spark, block):
     rows = [(f"Q{i % 7}", f"P{i % 6}", f"{i % 5}e{i % 2}") for i in range(200)] + [(None, "P1", "x"), ("Q1", None, "x"), ("Q1", "P1", None), ("hot", "P3", "a")] + [("hot", "P3", f"v{i}") for i in range(3000)]
     want = brute(rows)
     wide = pivot_wide(facts(spark, rows), ATTRIBUTES, TYPED, block).collect()
-    assert {r["entity"] for r in wide} == set(want) and all(r["part"] == 0 for r in wide)
+    assert {r["entity"] for r in wide} == set(want) and len(wide) == len(want)
     for r in wide:
         cells = want[r["entity"]]
         assert r["P1"] == (min(cells["P1"]) if cells["P1"] else None)
@@ -36,28 +36,42 @@ def test_against_brute_force(spark, block):
         assert r["conflicts"] == sorted(a for a in ("P1", "P2", "P4") if len(cells[a]) > 1)
 
 
-def test_long_lists_go_on_in_parts(spark):
-    rows = [("hot", "P3", f"v{i}") for i in range(500)] + [("hot", "P1", "Q1")]
-    wide = pivot_wide(facts(spark, rows), ATTRIBUTES, TYPED, 2, list_limit=100).collect()
-    assert sorted(v for r in wide for v in r["P3"] or []) == sorted(f"v{i}" for i in range(500))
-    assert len(wide) == 5 and [r["conflicts"] for r in wide] == [[]] * 5 and [r["P1"] for r in wide if r["part"] == 0] == ["Q1"] and max(len(r["P3"] or []) for r in wide) < 200
-
-
 def test_blocks_join_without_exchange(spark):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    """On the final adaptive plan, with blocks too large for a broadcast."""
+    rows = spark.range(30000).select(F.concat(F.lit("Q"), F.col("id") % 3000).alias("entity"), F.concat(F.lit("P"), F.col("id") % 5 + 1).alias("attr"), F.concat(F.lit("v"), F.col("id")).alias("key"))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = pivot_wide(facts(spark, [("a", "P1", "x"), ("a", "P2", "1e0"), ("a", "P5", "x")]), ATTRIBUTES, TYPED, 2)._jdf.queryExecution().executedPlan().toString()
+        df = pivot_wide(rows, [(a, "string", one) for a, _, one in ATTRIBUTES], TYPED, 2)
+        assert df.count() == 3000
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    # two exchanges in each of three blocks, the gathering and the placing, and that of the entities
-    assert plan.count("Exchange hashpartitioning") == 7 and plan.count("REPARTITION_BY_COL") == 3 and plan.count("SortMergeJoin") == 3, plan
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    plan = plan[: plan.index("Initial Plan")]
+    # two exchanges in each of three blocks, the gathering and the placing, and those of the entities; none above a join
+    assert plan.count("SortMergeJoin") == 3 and plan.count("Exchange hashpartitioning") in (7, 8), plan
+
+
+def test_thousands_of_attributes(spark):
+    n = 3000
+    rows = spark.range(20000).select(F.concat(F.lit("Q"), F.col("id") % 50).alias("entity"), F.concat(F.lit("A"), F.col("id") % n).alias("attr"), F.concat(F.lit("v"), F.col("id") % 7).alias("key"))
+    got = pivot_wide(rows, [(f"A{i}", "string", True) for i in range(n)], TYPED)
+    few = {r["entity"]: r for r in got.select("entity", "A0", "A61", "A62", "A2999", F.size("conflicts").alias("n")).collect()}
+    want = defaultdict(set)
+    for i in range(20000):
+        want[f"Q{i % 50}", f"A{i % n}"].add(f"v{i % 7}")
+    assert len(few) == 50
+    for e, r in few.items():
+        assert r["n"] == sum(len(v) > 1 for (x, _), v in want.items() if x == e)
+        for a in ("A0", "A61", "A62", "A2999"):
+            assert r[a] == (min(want[e, a]) if want[e, a] else None)
 
 
 def test_empty(spark):
     wide = pivot_wide(facts(spark, []), ATTRIBUTES, TYPED)
-    assert wide.count() == 0 and wide.columns == ["entity", "part", "P1", "P2", "P3", "P4", "P5", "conflicts"]
+    assert wide.count() == 0 and wide.columns == ["entity", "P1", "P2", "P3", "P4", "P5", "conflicts"]
 
 
 def test_number_keys(spark):
