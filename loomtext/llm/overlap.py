@@ -4,7 +4,7 @@ Records are canonicalised (compatibility forms, case, marks, punctuation and whi
 count) and hashed. Equal hashes make a class, and joining the hashes of held-out records with those of
 training records gives the equal ones. For near copies the runs of words of each class are hashed and joined as well:
 a class is reduced to the runs that may occur on both sides, ordered from rare to common by counts kept in a table of fixed size, and only
-the prefix that two sets above the threshold must share takes part in the join; sizes and
+a prefix of which two sets above the threshold must share several takes part in the join; sizes and
 positions rule out most candidates, and the common runs of the others are counted exactly.
 Only classes are compared and linked; rows are counted by class, and copies are expanded in `pairs` alone.
 """
@@ -27,7 +27,9 @@ from pyspark.sql import types as T
 from loomtext.workspace import Workspace
 
 #: Bits of a run's hash that name its slot when runs are counted to order them.
-SLOTS = 20
+SLOTS = 23
+#: Runs by which the prefix that must share one is made longer, so that it must share so many more.
+MORE = 4
 _ASCII = re.compile(r"[a-z0-9]+")
 _ANY = regex.compile(r"[\p{L}\p{N}]+")
 _MARKS = regex.compile(r"\p{M}+")
@@ -164,14 +166,17 @@ class CrossSplit:
         ordered = self.work.keep(classes.select("c", "n", ordered_runs("runs").alias("o")).select("c", "n", "o.s", "o.p"), "ordered").where("p > 0").withColumn("m", F.size("s"))
         # so many bits of the hashes are joined that few meet by chance; the counting below uses all
         runs = max(1, int(classes.agg(F.sum("n").alias("n")).first()["n"] or 0))
-        prefix = ordered.select("c", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.col("p"))).alias("i", "h")).select("c", "n", (F.col("m") - F.col("i")).alias("r"), F.shiftrightunsigned("h", 64 - min(64, runs.bit_length() + 6)).alias("h"))
+        prefix = ordered.select("c", "n", "m", F.posexplode(F.slice("s", F.lit(1), F.col("p") + MORE)).alias("i", "h")).select("c", "n", (F.col("m") - F.col("i")).alias("r"), F.shiftrightunsigned("h", 64 - min(64, runs.bit_length() + 6)).alias("h"))
         left = prefix.where(e == 1).select("h", F.col("c").alias("a"), F.col("n").alias("na"), F.col("r").alias("ra"))
         right = prefix.where(t == 1).select("h", F.col("c").alias("b"), F.col("n").alias("nb"), F.col("r").alias("rb"))
-        fits = (F.col("a") != F.col("b")) & (F.least("ra", "rb") >= self._needed("na", "nb")) & (F.col("na") * self.den >= F.col("nb") * self.num) & (F.col("nb") * self.den >= F.col("na") * self.num)
+        needed = self._needed("na", "nb")
+        alike = (F.col("a") != F.col("b")) & (F.col("na") * self.den >= F.col("nb") * self.num) & (F.col("nb") * self.den >= F.col("na") * self.num)
+        # of the runs that two sets share, the first MORE + 1 lie in both prefixes, and at least `needed` less MORE from there to the end
+        met = left.join(right, "h").where(alike & (F.least("ra", "rb") >= needed - MORE)).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
         # once written, their size decides how the pairs meet the runs
-        pairs = self.work.keep(left.join(right, "h").where(fits).select("a", "b", "na", "nb").distinct(), "pairs")
+        pairs = self.work.keep(met.where(F.col("k") >= F.least(needed, F.lit(MORE + 1))).select("a", "b", "na", "nb"), "pairs")
         sa, sb = ordered.select(F.col("c").alias("a"), F.col("s").alias("sa")), ordered.select(F.col("c").alias("b"), F.col("s").alias("sb"))
-        counted = pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+        counted = self.work.keep(pairs.join(sa, "a"), "with_runs").join(sb, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
         found = self.work.keep(counted.where(F.col("common") >= self._needed("na", "nb")), "found")
         named = found.join(classes.select(F.col("c").alias("a"), F.col("sig").alias("held_sig")), "a").join(classes.select(F.col("c").alias("b"), F.col("sig").alias("train_sig")), "b")
         return named.select("held_sig", "train_sig", "common", F.col("na").alias("n_held"), F.col("nb").alias("n_train"))
