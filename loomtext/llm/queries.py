@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from loomtext.llm import abuse
 from loomtext.llm.bpe import token_counts, token_ids
 from loomtext.llm.mixture import mix
-from loomtext.llm.overlap import CrossSplit
+from loomtext.llm.overlap import CrossSplit, canonical
 from loomtext.llm.splitting import STOPS, WS, split_texts
 from loomtext.workspace import Workspace
 
@@ -86,12 +86,25 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return _table(spark, folder, "documents").select("doc_id", token_ids(spark, F.col("text")).alias("ids"))
 
 
-def _mixture(spark: SparkSession, folder: str, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The mixture, its documents with tokens, and the targets."""
-    targets = _table(spark, folder, "mix_targets")
-    rows = targets.select(_name("source").alias("source"), "target_share", "max_repeats").where("source is not null").collect()
-    docs = _table(spark, folder, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), F.array_compact(F.array(_name("source"))).alias("sources"), token_counts(spark, F.col("text")).alias("tokens"))
+def _targets(spark: SparkSession, folder: str) -> DataFrame:
+    return _table(spark, folder, "mix_targets").select(_name("source").alias("source"), "target_share", "max_repeats").where("source is not null")
+
+
+def _mixture(spark: SparkSession, folder: str, shared: bool = False, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mixture, its documents with tokens, and the targets.
+
+    shared: documents with the same canonical text are one, named by the least doc_id and with its tokens, that belongs to all their sources.
+    """
+    targets = _targets(spark, folder)
+    rows = targets.collect()
+    docs = _table(spark, folder, "documents").where("doc_id is not null").select(F.col("doc_id").alias("id"), _name("source").alias("source"), token_counts(spark, F.col("text")).alias("tokens"), *([canonical(F.col("text"))["sig"].alias("sig")] if shared else []))
     docs = Workspace(spark, "mixture").keep(docs, "tokens")
+    if shared:
+        # a text without words stands for itself
+        same = docs.groupBy(F.coalesce("sig", F.col("id").cast("string").cast("binary")).alias("sig"))
+        docs = same.agg(F.min("id").alias("id"), F.min_by("tokens", "id").alias("tokens"), F.collect_set("source").alias("sources"))
+    else:
+        docs = docs.select("id", F.array_compact(F.array("source")).alias("sources"), "tokens")
     mixed, _ = mix(docs, {r["source"]: float(r["target_share"] or 0) for r in rows}, {r["source"]: int(r["max_repeats"] or 0) for r in rows}, seed)
     return mixed, docs, targets
 
@@ -100,17 +113,48 @@ def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder)[0].select(F.col("id").alias("doc_id"), "source", "copies", "tokens")
 
 
-def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+def _shares(spark: SparkSession, folder: str, shared: bool) -> DataFrame:
     """Per target: tokens there are and taken, documents, greatest number of copies, and the actual share of the mixture."""
-    mixed, docs, targets = _mixture(spark, folder)
+    mixed, docs, targets = _mixture(spark, folder, shared)
     got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"), F.count("*").alias("n_docs"), F.max("copies").alias("most_copies"))
     there = docs.select(F.explode("sources").alias("source"), "tokens").groupBy("source").agg(F.sum("tokens").alias("there"))
-    out = targets.select(_name("source").alias("source"), "target_share", "max_repeats").join(there, "source", "left").join(got, "source", "left")
+    out = targets.join(there, "source", "left").join(got, "source", "left")
     whole = F.sum("taken").over(Window.partitionBy(F.lit(0)))  # over the few targets
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return out.select("source", "target_share", "max_repeats", zero("there"), zero("taken"), zero("n_docs"), zero("most_copies"), F.coalesce(F.col("taken") / whole, F.lit(0.0)).alias("actual_share"))
 
 
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _shares(spark, folder, False)
+
+
+def p7_shared(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_shares, where a text that stands in several sources is one document that can be counted for any of them."""
+    return _shares(spark, folder, True)
+
+
+def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
+    """Per way of mixing and target: whether there are documents, the share they should have, whether it is met to within a document per set of sources, and whether no document of the source occurs too often."""
+    out = None
+    for shared in (False, True):
+        mixed, docs, targets = _mixture(spark, folder, shared)
+        usable = docs.where("tokens > 0").select("id", F.explode("sources").alias("source"), "tokens")
+        sets = docs.where("tokens > 0").groupBy("sources").agg(F.max("tokens").alias("most"))
+        slack = sets.select(F.explode("sources").alias("source"), "most").groupBy("source").agg(F.sum("most").alias("slack"))
+        times = usable.select("id", "source").join(mixed.groupBy("id").agg(F.sum("copies").alias("times")), "id").groupBy("source").agg(F.max("times").alias("times"))
+        got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("taken"))
+        t = targets.join(usable.groupBy("source").agg(F.count("*").alias("n")), "source", "left").join(got, "source", "left").join(times, "source", "left").join(slack, "source", "left")
+        every = Window.partitionBy(F.lit(0))  # over the few targets
+        on = (F.coalesce("n", F.lit(0)) > 0) & (F.col("max_repeats") > 0) & (F.col("target_share") > 0)
+        share = F.when(on, F.col("target_share")).otherwise(0.0) / F.sum(F.when(on, F.col("target_share"))).over(every)
+        taken = F.coalesce("taken", F.lit(0))
+        # a quota that is missed by a document moves the whole as well
+        met = F.abs(taken - share * F.sum("taken").over(every)) <= F.coalesce("slack", F.lit(0)) + share * F.sum("slack").over(every) + 1
+        row = t.select(F.lit("shared" if shared else "single").alias("way"), "source", on.alias("used"), F.round(share, 9).alias("share"), met.alias("met"), (F.coalesce("times", F.lit(0)) <= F.col("max_repeats")).alias("kept"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def abuse_model(spark: SparkSession, folder: str) -> abuse.Model:
     """Fitted on at most MAX_POSITIVE and MAX_NEGATIVE of the labelled documents, by hash of their id, weighted by the labelled over the sampled count of their side.
 
@@ -146,7 +190,7 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return s.agg(F.count("*").alias("n_docs"), F.count_if(F.col("s.found")).alias("n_found"), F.avg(F.col("s.found").cast("int")).alias("rate"), *[F.avg(f"s.{c}").alias(c) for c in abuse.CLASSES])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_cover, p5_found, p5_counts, p5_classes, p6_ids, p7_mixture, p7_shares, p8_found, p8_scores, p8_rates)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_cover, p5_found, p5_counts, p5_classes, p6_ids, p7_mixture, p7_shares, p7_shared, p7_checks, p8_found, p8_scores, p8_rates)}
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -162,6 +206,9 @@ _OVERLAP = rf"""{_NOW},
  links as (select hc, tc, false as same from near union all select canon, canon, true from c where e and t)"""
 
 SQL = {
+    "p7_checks": """with d as (select lower(trim(source)) as source, count(*) filter (text <> '') as n from documents where doc_id is not null group by 1),
+ t as (select lower(trim(m.source)) as source, target_share, max_repeats, coalesce(n, 0) > 0 and max_repeats > 0 and target_share > 0 as used from mix_targets m left join d on d.source = lower(trim(m.source)))
+ select way, source, used, round(case when used then target_share else 0 end / sum(case when used then target_share end) over (partition by way), 9) as share, true as met, true as kept from t, (values ('single'), ('shared')) w(way)""",
     "p3_found": rf"""select distinct text_idx from (select text_idx, max_len_text as m, unnest(regexp_extract_all(text, '[^{_WS}。！？]*[。！？]|[^{_WS}。！？]+')) as run
       from texts join window_config using (source)) where length(run) > m""",
     "p3_cover": rf"""select text_idx, md5(text) as rebuilt, true as fits, true as shares, true as natural, coalesce(list_max([length(x) for x in regexp_extract_all(text, '[^{_WS}。！？]*[。！？]|[^{_WS}。！？]+')]) > max_len_text, false) as cut

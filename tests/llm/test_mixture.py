@@ -1,4 +1,6 @@
+import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -15,6 +17,42 @@ def test_plan_reaches_shares_with_few_repeats():
     assert plan_mixture({("a",): 50}, {"a": 0.4, "none": 0.6}, {"a": 2, "none": 1}, total=70).quota == {"a": 70}
 
 
+def brute(sizes, shares, repeats):
+    """The largest size by trying all sets of sources."""
+    present = sorted({s for p in sizes for s in p})
+    whole = sum(shares[s] for s in present)
+    return min(sum(n * min(repeats[x] for x in p) for p, n in sizes.items() if set(p) & set(c)) * whole / sum(shares[s] for s in c) for k in range(1, len(present) + 1) for c in itertools.combinations(present, k))
+
+
+def test_overlapping_sources_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        names = "abcde"[: rng.randint(2, 5)]
+        sizes = {tuple(sorted(rng.sample(names, rng.randint(1, len(names))))): rng.randint(1, 1000) for _ in range(rng.randint(1, 8))}
+        shares, repeats = {s: rng.randint(1, 9) / 10 for s in names}, {s: rng.randint(1, 4) for s in names}
+        plan = plan_mixture(sizes, shares, repeats)
+        assert abs(plan.total - brute(sizes, shares, repeats)) <= 1
+        assert {s: sum(n for (_, x), n in plan.flow.items() if x == s) for s in plan.quota} == plan.quota
+        for p, n in sizes.items():
+            assert sum(m for (q, _), m in plan.flow.items() if q == p) <= n * min(repeats[s] for s in p)
+
+
+def test_repeats_are_spread():
+    # b alone can serve b, so a's second pass is needed only for what a lacks
+    plan = plan_mixture({("a",): 100, ("a", "b"): 100, ("b",): 100}, {"a": 0.5, "b": 0.5}, {"a": 3, "b": 3}, total=300)
+    used = {p: sum(n for (q, _), n in plan.flow.items() if q == p) for p in [("a",), ("a", "b"), ("b",)]}
+    assert used == {("a",): 100, ("a", "b"): 100, ("b",): 100}
+
+
+def test_thousands_of_patterns():
+    rng = random.Random(6)
+    names = [f"s{i}" for i in range(40)]
+    sizes = {tuple(sorted(rng.sample(names, rng.randint(1, 4)))): rng.randint(1, 10**9) for _ in range(20000)}
+    began = time.time()
+    plan = plan_mixture(sizes, {s: rng.random() for s in names}, {s: rng.randint(1, 5) for s in names})
+    assert time.time() - began < 120 and sum(plan.flow.values()) == sum(plan.quota.values())
+
+
 def docs(spark, n=3000):
     rng = random.Random(1)
     rows = [(i, [["a"], ["b"], ["a", "b"], ["c"]][rng.choices(range(4), (60, 20, 10, 10))[0]], rng.randint(0, 30)) for i in range(n)]
