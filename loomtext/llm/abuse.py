@@ -15,10 +15,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +47,7 @@ _SPACED = re.compile(r"(?<![a-z0-9])[a-z*](?:[ .\-_*·,/]{1,2}[a-z*](?![a-z0-9])
 _STRETCHED = re.compile(r"(.{1,3}?)\1{2,}")
 _GAPS = re.compile(r"[ .\-_·,/]")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:][0-9]+)*")
+_UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}\p{Co}\p{Cs}]+")
 _BLANK = re.compile(r"[^\S\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|\s*\n\s*")
 
@@ -54,7 +57,7 @@ def normalise(text: str) -> str:
     t = text.replace("\r", "\n")
     if not t.isascii():
         t = unicodedata.normalize("NFKD", t).lower().translate(_LATIN)
-        t = "".join([c for c in t if c.isascii() or unicodedata.category(c) not in ("Mn", "Me", "Cf", "Co", "Cs")])
+        t = _UNSEEN.sub("", t)
     t = t.lower()
     t = _IN_WORD.sub(lambda m: "".join(SIGNS[c] for c in m.group()), t)
     t = _SPACED.sub(lambda m: _GAPS.sub("", m.group()), t)
@@ -79,22 +82,26 @@ def sentences(text: str | None) -> list[str]:
     return out
 
 
-def grams(spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, feature) of the hashed n-grams of each span, an entry per occurrence."""
-    if not spans:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.frombuffer("".join(spans).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
-    rows, features, h = [], [], codes.copy()
+def _hashed(text: str) -> Iterator[tuple[int, np.ndarray]]:
+    """The length of n-grams and the feature of each in a text, for every length that it has."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = codes.copy()
     for n in range(2, max(NGRAMS) + 1):
         if n > len(codes):
-            break
+            return
         h = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + codes[n - 1 :] + np.uint64(n)
         if n in NGRAMS:
-            mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            whole = np.flatnonzero(row[: len(h)] == row[n - 1 :])
-            rows.append(row[whole])
-            features.append((mixed[whole] >> np.uint64(64 - BITS)).astype(np.int64))
+            yield n, (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def grams(spans: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(row, feature) of the hashed n-grams of each span, an entry per occurrence."""
+    row = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
+    rows, features = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for n, feature in _hashed("".join(spans)):
+        whole = np.flatnonzero(row[: len(feature)] == row[n - 1 :])
+        rows.append(row[whole])
+        features.append(feature[whole])
     return np.concatenate(rows), np.concatenate(features)
 
 
@@ -108,8 +115,19 @@ class Model:
 
     def spans(self, texts: list[str]) -> np.ndarray:
         """(span, class) scores."""
-        row, feature = grams(texts)
-        return np.stack([np.bincount(row, w[feature], len(texts)) for w in self.weights], 1) + self.bias
+        out = np.tile(self.bias, (len(texts), 1))
+        if not texts:
+            return out
+        size = np.array([len(t) for t in texts])
+        start, row = np.cumsum(size) - size, np.repeat(np.arange(len(texts)), size)
+        by_feature = np.ascontiguousarray(self.weights.T)
+        for n, feature in _hashed("".join(texts)):
+            w = by_feature[feature]
+            w[row[: len(feature)] != row[n - 1 :]] = 0
+            # the n-grams of a span lie together
+            inside = start < len(feature)
+            out[inside] += np.add.reduceat(w, start[inside], axis=0, dtype=np.float64)
+        return out
 
     def documents(self, texts: list[str | None]) -> np.ndarray:
         """(document, class) probabilities, the greatest over the spans; 0 without any."""

@@ -155,7 +155,20 @@ def p7_checks(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+#: Models by application and files of the labels and texts they were fitted on.
+_MODELS: dict[tuple, abuse.Model] = {}
+
+
 def abuse_model(spark: SparkSession, folder: str) -> abuse.Model:
+    """The model of a session for these files, fitted when it is first asked for."""
+    files = [f for t in ("review_labels", "documents") for f in sorted(_table(spark, folder, t).inputFiles())]
+    key = (spark.sparkContext.applicationId, *files)
+    if key not in _MODELS:
+        _MODELS[key] = fit_abuse_model(spark, folder)
+    return _MODELS[key]
+
+
+def fit_abuse_model(spark: SparkSession, folder: str) -> abuse.Model:
     """Fitted on at most MAX_POSITIVE and MAX_NEGATIVE of the labelled documents, by hash of their id, weighted by the labelled over the sampled count of their side.
 
     Several reviews of a document count as 1 if at least half of them do; a class nobody judged is unknown.
@@ -190,7 +203,18 @@ def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
     return s.agg(F.count("*").alias("n_docs"), F.count_if(F.col("s.found")).alias("n_found"), F.avg(F.col("s.found").cast("int")).alias("rate"), *[F.avg(f"s.{c}").alias(c) for c in abuse.CLASSES])
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_cover, p5_found, p5_counts, p5_classes, p6_ids, p7_mixture, p7_shares, p7_shared, p7_checks, p8_found, p8_scores, p8_rates)}
+def p8_agreement(spark: SparkSession, folder: str) -> DataFrame:
+    """Per source the documents with labels, how many reviews call one abusive, hateful or sexual, and whether the scores find most of the one kind and few of the other."""
+    labels = _table(spark, folder, "review_labels").where("doc_id is not null").groupBy("doc_id").agg(*[F.avg(c).alias(c) for c in abuse.CLASSES])
+    bad = F.greatest(*[F.coalesce(c, F.lit(0.0)) for c in abuse.CLASSES]) >= 0.5
+    each = _scored(spark, folder, "source").join(labels.select("doc_id", bad.alias("bad")), "doc_id").select(F.coalesce(_name("source"), F.lit("")).alias("source"), "bad", F.col("s.found").alias("found"))
+    per = each.groupBy("source").agg(F.count("*").alias("n_labelled"), F.count_if("bad").alias("n_bad"), F.count_if(F.col("bad") & F.col("found")).alias("hits"), F.count_if(~F.col("bad") & F.col("found")).alias("alarms"))
+    # reviewers make occasional mistakes
+    most = F.lit(0.8) * F.col("n_bad") - 3
+    return per.select("source", "n_labelled", "n_bad", (F.col("hits") >= most).alias("finds"), (F.col("alarms") <= 3 + F.lit(0.05) * (F.col("n_labelled") - F.col("n_bad"))).alias("spares"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_cover, p5_found, p5_counts, p5_classes, p6_ids, p7_mixture, p7_shares, p7_shared, p7_checks, p8_found, p8_scores, p8_rates, p8_agreement)}
 
 _WS = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
@@ -206,6 +230,8 @@ _OVERLAP = rf"""{_NOW},
  links as (select hc, tc, false as same from near union all select canon, canon, true from c where e and t)"""
 
 SQL = {
+    "p8_agreement": """with l as (select doc_id, greatest(coalesce(avg(abusive), 0), coalesce(avg(hateful), 0), coalesce(avg(sexual), 0)) >= 0.5 as bad from review_labels where doc_id is not null group by doc_id)
+ select coalesce(lower(trim(source)), '') as source, count(*) as n_labelled, count(*) filter (bad) as n_bad, true as finds, true as spares from documents join l using (doc_id) group by 1""",
     "p7_checks": """with d as (select lower(trim(source)) as source, count(*) filter (text <> '') as n from documents where doc_id is not null group by 1),
  t as (select lower(trim(m.source)) as source, target_share, max_repeats, coalesce(n, 0) > 0 and max_repeats > 0 and target_share > 0 as used from mix_targets m left join d on d.source = lower(trim(m.source)))
  select way, source, used, round(case when used then target_share else 0 end / sum(case when used then target_share end) over (partition by way), 9) as share, true as met, true as kept from t, (values ('single'), ('shared')) w(way)""",
