@@ -6,17 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from loomtext.operators.ranking import hash_share, top_per_group
+from loomtext.operators.ranking import global_rank, hash_share, top_per_group
 
-# Pronouns, which name no subject of their own.
-PRONOUNS = ["he", "her", "hers", "him", "his", "i", "it", "its", "me", "my", "our", "she", "their", "them", "they", "this", "us", "we", "you", "your"]
+# Surface forms that name no subject of their own.
+PRONOUNS = ["he", "she", "it", "him", "her", "they", "them", "none"]
 
 
-def with_reflexive(facts: DataFrame, subject: str, attribute: str, answer: str, surface: str) -> DataFrame:
-    """facts and, for each distinct subject with a surface form that is no pronoun, a row of attribute `id` whose answer is the subject itself."""
+def with_reflexive(facts: DataFrame, subject: str, attribute: str, answer: str, surface: str, placed: Column | None = None) -> DataFrame:
+    """facts and, for each distinct subject with a surface form that is no pronoun, a row of attribute `id` whose answer is the subject itself; only where `placed`, that the surface form has a place in the text, holds if it is given."""
     own = facts.where(F.col(subject).isNotNull() & F.col(surface).isNotNull() & ~F.lower(surface).isin(PRONOUNS))
+    own = own if placed is None else own.where(placed)
     reflexive = own.select(subject, surface).distinct().select(subject, F.lit("id").alias(attribute), F.col(subject).alias(answer), surface)
     return facts.unionByName(reflexive, allowMissingColumns=True)
 
@@ -50,17 +50,17 @@ def group_mentions(rows: DataFrame, document: Sequence[str], query: Sequence[str
 def confusion_texts(texts: DataFrame, key: str, types: str, split: str, seed: int = 0, width: int = 4) -> DataFrame:
     """(key, other): for each text another one of the same split that shares a type, chosen by seeded hash; null where there is none.
 
-    No pairs of all texts of a type are formed: the texts of a type and split stand on a ring in
-    hash order, and each text's candidates are the `width` next to it there.
+    No pairs of all texts of a type are formed: the texts of a type and split stand in a line in
+    hash order, and each text's candidates are the `width` before and behind it there. The places come
+    from one range-partitioned order of all, so a hot type is spread over as many tasks as it needs.
     """
     flat = texts.select(key, split, F.explode(F.array_distinct(types)).alias("type")).where("type is not null")
-    # a hot type is cut into arcs of about a thousand by hash, each a ring of its own
-    sizes = flat.groupBy(split, "type").agg((F.floor(F.count("*") / 1000) + 1).alias("arcs"))
     place = hash_share(F.concat_ws("|", F.col(key).cast("string"), "type"), seed)
-    arcs = flat.join(sizes, [split, "type"]).withColumn("u", place).withColumn("arc", F.floor(F.col("u") * F.col("arcs")))
-    ring = Window.partitionBy(split, "type", "arc").orderBy("u", key)
-    nexts = [F.lead(key, i).over(ring) for i in range(1, width + 1)] + [F.lag(key, i).over(ring) for i in range(1, width + 1)]
-    found = arcs.select(key, F.array_compact(F.array(*nexts)).alias("__o")).select(key, F.explode("__o").alias("other"))
+    line = global_rank(flat.withColumn("__u", place), [F.col(split), F.col("type"), F.col("__u"), F.col(key)], "__i")
+    steps = F.array(*[F.lit(i) for i in range(-width, width + 1) if i])
+    asks = line.select(key, split, "type", F.explode(F.transform(steps, lambda d: F.col("__i") + d)).alias("__i"))
+    there = line.select(F.col(split).alias("__s"), F.col("type").alias("__t"), "__i", F.col(key).alias("other"))
+    found = asks.join(there, "__i").where(F.col(split).eqNullSafe(F.col("__s")) & (F.col("type") == F.col("__t")) & (F.col("other") != F.col(key)))
     order = hash_share(F.concat_ws("|", F.col(key).cast("string"), F.col("other").cast("string")), seed)
     best = found.groupBy(key).agg(F.min_by("other", F.struct(order, "other")).alias("other"))
     return texts.select(key).distinct().join(best, key, "left")
@@ -141,11 +141,6 @@ def name_pieces(df: DataFrame, name: str) -> DataFrame:
     return df.select(F.explode(F.array_union(F.array(F.col(name)), F.split(name, " +"))).alias("piece")).where("piece is not null and piece <> ''").distinct()
 
 
-def first_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows of each group: training files of n examples per table."""
-    return top_per_group(df, group, order, n)
-
-
 def hypothesis_lines(df: DataFrame, line: str) -> DataFrame:
     """(number, text) of generator output lines `H-<number>\\t<score>\\t<text>`, by number; other lines are left out."""
     rx = r"^H-([0-9]+)\t[^\t]*\t(.*)$"

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 
 def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
-    """array<struct<start, end, value>> of the matches of a regular expression, from the left.
+    """array<struct<start, end, value>> of the matches of a regular expression, from the left; empty matches are left out.
 
-    The text is walked with built-ins: each match is looked for behind the one before it.
+    What lies between the matches is split off by the same expression, so places follow from
+    lengths alone, whatever the expression looks at around a match. With a group, its value's place is
+    the first of that value within the match.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.zip_with(found, inner, lambda w, v: F.struct(w.alias("whole"), v.alias("value")))
-    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    zipped = F.arrays_zip(found.alias("whole"), inner.alias("value"), F.split(text, pattern, -1).alias("gap"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
 
     def walk(acc: Column, m: Column) -> Column:
-        at = F.position(m["whole"], text, acc["at"])
-        offset = F.position(m["value"], m["whole"]) - 1
-        begin = (at - 1 + offset).cast("int")
-        one = F.struct(begin.alias("start"), (begin + F.length(m["value"])).cast("int").alias("end"), m["value"].alias("value"))
-        return F.struct((at + F.greatest(F.length(m["whole"]), F.lit(1))).cast("int").alias("at"), F.array_append(acc["out"], one).alias("out"))
+        whole, at = m["whole"], acc["at"] + F.length(m["gap"])
+        begin = at + F.position(m["value"], whole) - 1
+        one = F.struct(begin.cast("int").alias("start"), (begin + F.length(m["value"])).cast("int").alias("end"), m["value"].alias("value"))
+        return F.struct((at + F.coalesce(F.length(whole), F.lit(0))).cast("int").alias("at"), F.when(F.length(whole) > 0, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(zipped, start, walk, lambda acc: acc["out"])
 

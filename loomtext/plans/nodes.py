@@ -7,7 +7,7 @@ are limited before extraction, so its cost follows what is left.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -285,7 +285,6 @@ class TextSelect(Node):
     share: float = 0.0
     constant: str | None = None
     indexed: bool = False
-    cache: dict = field(default_factory=dict, compare=False, repr=False)
 
     def name(self) -> str:
         return f"σ {self.attribute} ({self.source})"
@@ -334,9 +333,10 @@ class TextAggregate(Node):
             # max over the row itself: no shuffle
             rows = rows.withColumn("__rep", F.array_max(F.array_compact(value)))
         else:
-            rows = rows.withColumn("__row", F.struct(*[c for c in low.df.columns]))
+            # equal rows stay apart by a number of their own
+            rows = rows.withColumn("__row", F.struct(F.monotonically_increasing_id().alias("__n"), *low.df.columns))
             pairs = rows.select("__row", F.explode(F.array_compact(value)).alias("value")).join(self.representative.select("value", "rep"), "value")
-            rows = pairs.groupBy("__row").agg(F.max("rep").alias("__rep")).select("__row.*", "__rep")
+            rows = pairs.groupBy("__row").agg(F.max("rep").alias("__rep")).select("__row.*", "__rep").drop("__n")
         rows = rows.where(F.col("__rep").isNotNull() & (F.col("__rep") != "") & ~F.col("__rep").rlike(r"^[#.]"))
         gather: list[Column] = []
         for c, kind in low.df.dtypes:

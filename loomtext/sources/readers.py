@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from loomtext.functions.text import camel_words
 from loomtext.operators.tabletext import parse_tables
@@ -63,8 +64,15 @@ def negated(df: DataFrame, key: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(number, line): lines of one file by number from 0."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("number", "line"))
+    """(number, line): lines of one file by number from 0.
+
+    The file is read in blocks by as many tasks. A line's number is its place in its block and the lines of the blocks before it.
+    """
+    raw = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    blocks = raw.groupBy("block").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    # a row per block of the file
+    before = blocks.select("block", (F.sum("n").over(Window.orderBy("block")) - F.col("n") - F.col("first")).alias("shift"))
+    return raw.join(before, "block").select((F.col("id") + F.col("shift")).alias("number"), "line")
 
 
 def paired_lines(spark: SparkSession, data: str, text: str) -> DataFrame:
@@ -117,17 +125,19 @@ def dump_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
-    """(archive, member, text): the files of zip archives, each member unpacked where its archive is read."""
+    """(archive, member, text): the files of zip archives. An archive is opened where it lies, and one member at a time unpacked."""
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for name, content in zip(pdf["path"], pdf["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
+            for name in pdf["path"]:
+                system, at = FileSystem.from_uri(name if "://" in name else name.replace("file:/", "file:///", 1))
+                with system.open_input_file(at) as f, zipfile.ZipFile(f) as z:
                     for member in z.namelist():
                         if not member.endswith("/"):
                             yield pd.DataFrame({"archive": [name], "member": [member], "text": [z.read(member).decode("utf-8", "replace")]})
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path", "content").mapInPandas(unpack, "archive string, member string, text string")
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    return names.mapInPandas(unpack, "archive string, member string, text string")
 
 
 _LINE = r"^\d+\. (.+?) was diagnosed with (.+?) and (?:his|her) computer was diagnosed with (.+?)\.$"

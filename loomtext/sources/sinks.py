@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.operators.nesting import upsert
+
 
 def write_json(frames: dict[str, DataFrame], folder: str, split: str) -> None:
     """One folder of JSON lines per table and split."""
@@ -29,17 +31,20 @@ def write_chat(df: DataFrame, user: str, assistant: str, path: str, system: str
 def append_checked(df: DataFrame, path: str) -> None:
     """Appends to a parquet table; columns or types that differ from what is there are an error."""
     spark = df.sparkSession
-    try:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
         there = spark.read.parquet(path).dtypes
-    except Exception:
-        there = None
-    if there is not None and there != df.dtypes:
-        raise ValueError(f"{path} has {there}, not {df.dtypes}")
+        if there != df.dtypes:
+            raise ValueError(f"{path} has {there}, not {df.dtypes}")
     df.write.mode("append").parquet(path)
 
 
 class Store:
-    """Tables under slash-separated keys in one folder."""
+    """Tables under slash-separated keys in one folder.
+
+    A table is a folder of numbered versions, of which the last complete one counts; a new one is
+    written beside it and counts once it is whole, so a failure in between loses nothing.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -47,15 +52,29 @@ class Store:
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _versions(self, key: str) -> list[int]:
+        """Numbers of the complete versions, in order."""
+        where = self._path(f"{self.folder}/{key}")
+        names = [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+        found = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit())
+        return [n for n in found if self._fs.exists(self._path(f"{self.folder}/{key}/v{n}/_SUCCESS"))]
+
     def set(self, key: str, df: DataFrame, by: tuple[str, ...] = ()) -> None:
+        """Writes a table; df may be made from the one that it replaces."""
+        old = self._versions(key)
         writer = df.write.mode("overwrite")
-        (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/{key}")
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.folder}/{key}/v{max(old, default=0) + 1}")
+        for n in old:
+            self._fs.delete(self._path(f"{self.folder}/{key}/v{n}"), True)
 
     def get(self, key: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{key}")
+        found = self._versions(key)
+        if not found:
+            raise KeyError(key)
+        return self.spark.read.parquet(f"{self.folder}/{key}/v{found[-1]}")
 
     def __contains__(self, key: str) -> bool:
-        return bool(self._fs.exists(self._path(f"{self.folder}/{key}/_SUCCESS")))
+        return bool(self._versions(key))
 
     def keys(self, prefix: str = "") -> list[str]:
         """Keys below a prefix, sorted."""
@@ -70,14 +89,34 @@ class Store:
                 todo += [f"{at}/{s.getPath().getName()}".lstrip("/") for s in self._fs.listStatus(where) if s.isDirectory()]
         return sorted(out)
 
-    def upsert(self, key: str, changes: DataFrame, on: list[str], order: list) -> None:
-        """Merges the last change of each key into a table; the new table replaces the old one once it is written."""
-        from loomtext.operators.nesting import upsert
+    def all(self, prefix: str = "") -> dict[str, DataFrame]:
+        """Every table below a prefix, by key."""
+        return {k: self.get(k) for k in self.keys(prefix)}
+
+    def find(self, key: str, test: Column | str | None = None, columns: list[str] | None = None) -> DataFrame:
+        """Rows of a table that meet a test, and some of their columns."""
+        found = self.get(key) if test is None else self.get(key).where(test)
+        return found.select(*columns) if columns else found
 
-        merged = upsert(self.get(key), changes, on, order) if key in self else upsert(changes.limit(0), changes, on, order)
-        self.set(f"{key}.new", merged)
+    def find_one(self, key: str, test: Column | str | None = None) -> dict | None:
+        """A row that meets a test as a dictionary, or null."""
+        row = self.find(key, test).limit(1).collect()
+        return row[0].asDict(recursive=True) if row else None
+
+    def distinct(self, key: str, column: str) -> DataFrame:
+        """(column): its distinct values that aren't null."""
+        return self.get(key).select(column).where(F.col(column).isNotNull()).distinct()
+
+    def delete_many(self, key: str, test: Column) -> None:
+        """Leaves out the rows that meet a test; those for which it is null stay."""
+        self.set(key, self.get(key).where(~F.coalesce(test, F.lit(False))))
+
+    def drop(self, key: str) -> None:
         self._fs.delete(self._path(f"{self.folder}/{key}"), True)
-        self._fs.rename(self._path(f"{self.folder}/{key}.new"), self._path(f"{self.folder}/{key}"))
+
+    def upsert(self, key: str, changes: DataFrame, on: list[str], order: list) -> None:
+        """Merges the last change of each key into a table."""
+        self.set(key, upsert(self.get(key), changes, on, order) if key in self else upsert(changes.limit(0), changes, on, order))
 
     def cached(self, parts: tuple, make: Callable[[], DataFrame]) -> DataFrame:
         """What make gives, written once per distinct parts."""

@@ -8,28 +8,41 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+#: Workspaces not yet removed, by application.
+_OPEN: dict[str, list[Workspace]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only in local mode without it."""
+    """The folder named by spark.checkpoint.dir. Where it is unset in local mode, a temporary one is set for the session; on a cluster that is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="loomtext-")
-    return _OWN[app]
+    spark.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="loomtext-"))
+    return spark.conf.get("spark.checkpoint.dir")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes on leaving what workspaces opened inside have written; results must have been taken by then."""
+    mine = _OPEN.setdefault(spark.sparkContext.applicationId, [])
+    before = len(mine)
+    try:
+        yield
+    finally:
+        while len(mine) > before:
+            mine.pop().remove()
 
 
 class Workspace:
-    """Scratch tables of one operator run; they are removed when the session's file system closes."""
+    """Scratch tables of one operator run; they are removed by `remove`, at the end of `scratch`, or else when the session's file system closes."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
@@ -39,8 +52,12 @@ class Workspace:
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         fs.mkdirs(path)
         fs.deleteOnExit(path)
-        self._fs, self._path = fs, jvm.org.apache.hadoop.fs.Path
+        self._fs, self._path = fs, path
         self._n = 0
+        _OPEN.setdefault(spark.sparkContext.applicationId, []).append(self)
+
+    def remove(self) -> None:
+        self._fs.delete(self._path, True)
 
     def keep(self, df: DataFrame, name: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
         """Writes df once, in folders by some columns if wished, and returns the written table."""
