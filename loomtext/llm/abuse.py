@@ -41,14 +41,15 @@ LOOK_ALIKES = {
 }
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"}
 
-_LATIN = str.maketrans(LOOK_ALIKES)
+_LATIN = re.compile(f"[{''.join(LOOK_ALIKES)}]")
 _IN_WORD = re.compile(r"(?<=[a-z])[013457@$!|€]+(?=[a-z])|(?<![^\s])[1357@$](?=[a-z]{2})")
 _SPACED = re.compile(r"(?<![a-z0-9])[a-z*](?:[ .\-_*·,/]{1,2}[a-z*](?![a-z0-9])){2,}")
 _STRETCHED = re.compile(r"(.{1,3}?)\1{2,}")
 _GAPS = re.compile(r"[ .\-_·,/]")
 _NUMBER = re.compile(r"[0-9]+(?:[.,:][0-9]+)*")
 _UNSEEN = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}\p{Co}\p{Cs}]+")
-_BLANK = re.compile(r"[^\S\n]+")
+#: white space but single spaces and line ends
+_BLANK = re.compile(r"[^\S\n ][^\S\n]*| [^\S\n]+")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"'”»)]*\s+|\s*\n\s*")
 
 
@@ -56,7 +57,7 @@ def normalise(text: str) -> str:
     """Lower case without marks, format characters and look-alikes; spaced, stretched and sign spellings undone; numbers as 0."""
     t = text.replace("\r", "\n")
     if not t.isascii():
-        t = unicodedata.normalize("NFKD", t).lower().translate(_LATIN)
+        t = _LATIN.sub(lambda m: LOOK_ALIKES[m.group()], unicodedata.normalize("NFKD", t).lower())
         t = _UNSEEN.sub("", t)
     t = t.lower()
     t = _IN_WORD.sub(lambda m: "".join(SIGNS[c] for c in m.group()), t)
