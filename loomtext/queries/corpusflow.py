@@ -28,10 +28,10 @@ def raw(spark, folder):
     return table(spark, folder, "raw_queries").select(F.col("_doc").alias("doc"), F.col("_subject_uri").alias("s"), F.col("_attr_uri").alias("a"), F.col("_answer_uri").alias("o"), F.col("_subject_label").alias("label"), F.col("_answer_start").alias("start"), F.col("_answer_end").alias("end"))
 
 
-@query("""with q as (select _subject_uri as s, _attr_uri as a, _answer_uri as o, _subject_label as label from raw_queries)
-select a, count(*) as n from (select a from q union all select 'id' from (select distinct s, label from q where s is not null and label is not null and lower(label) not in ('he','her','hers','him','his','i','it','its','me','my','our','she','their','them','they','this','us','we','you','your'))) group by a""")
+@query("""with q as (select _subject_uri as s, _attr_uri as a, _answer_uri as o, _subject_label as label, _answer_start as start from raw_queries)
+select a, count(*) as n from (select a from q union all select 'id' from (select distinct s, label from q where s is not null and start is not null and label is not null and lower(label) not in ('he','she','it','him','her','they','them','none'))) group by a""")
 def flow_reflexive(spark, folder):
-    return cs.with_reflexive(raw(spark, folder).select("s", "a", "o", "label"), "s", "a", "o", "label").groupBy("a").agg(F.count("*").alias("n"))
+    return cs.with_reflexive(raw(spark, folder).select("s", "a", "o", "label", "start"), "s", "a", "o", "label", F.col("start").isNotNull()).groupBy("a").agg(F.count("*").alias("n"))
 
 
 @query("""with q as (select _doc as doc, _attr_uri as a, ('0x' || substring(md5(concat_ws('|', _attr_uri, _doc) || '|4'), 1, 8))::bigint / 4294967296.0 as u from raw_queries)
@@ -69,15 +69,17 @@ def flow_enrich(spark, folder):
     return got.select("wikidata_id", "label", F.array_join(F.transform("evidence", lambda x: F.concat(x["p"], F.lit("="), x["o"])), ",").alias("evidence"))
 
 
-_STAMPS = "select distinct _subject_uri as s, substring(_answer_uri, 2) as d from raw_queries where _subject_uri is not null and regexp_matches(_answer_uri, '^[+][0-9]{4}-[0-9]{2}-[0-9]{2}T00:00:00Z$')"
+_STAMP = "^[+]?([0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}Z)(\\^\\^.*)?$"
+_STAMPS = f"select distinct _subject_uri as s, regexp_extract(_answer_uri, '{_STAMP}', 1) as d from raw_queries where _subject_uri is not null and regexp_matches(_answer_uri, '{_STAMP}')"
 
 
-@query(f"""with w as ({_STAMPS}), p as (select s, d, unnest([d, substring(d, 1, 8) || '00T00:00:00Z', substring(d, 1, 5) || '00-00T00:00:00Z']) as f, unnest([1, 2, 3]) as i from w),
- h as (select distinct s, d as f from w where d like '%-00T00:00:00Z')
+@query(f"""with w as ({_STAMPS}), p as (select s, d, unnest([d, substring(d, 1, 17) || '00Z', substring(d, 1, 14) || '00:00Z', substring(d, 1, 11) || '00:00:00Z', substring(d, 1, 8) || '00T00:00:00Z', substring(d, 1, 5) || '00-00T00:00:00Z']) as f, unnest([1, 2, 3, 4, 5, 6]) as i from w),
+ h as (select distinct s, d as f from w where d like '%T00:00:00Z')
 select s, d, arg_min(f, i) as found from p join h using (s, f) group by s, d""")
 def flow_match_dates(spark, folder):
-    q = raw(spark, folder).where("s is not null").where(F.col("o").rlike("^[+][0-9]{4}-[0-9]{2}-[0-9]{2}T00:00:00Z$")).select("s", F.expr("substring(o, 2)").alias("d")).distinct()
-    return cs.match_dates(q, q.where(F.col("d").endswith("-00T00:00:00Z")), "s", "d")
+    """Every stamp with the finest of its forms that is a date of its subject without a time of day."""
+    q = raw(spark, folder).where("s is not null").select("s", F.regexp_extract("o", _STAMP, 1).alias("d")).where("d <> ''").distinct()
+    return cs.match_dates(q, q.where(F.col("d").endswith("T00:00:00Z")), "s", "d")
 
 
 @query("""select doc, start, end_pos from (select _doc as doc, _answer_start as start, _answer_end as end_pos, row_number() over (partition by _doc, _answer_start order by _answer_end desc) as rn from raw_queries where _answer_start is not null) where rn = 1""")
@@ -115,7 +117,7 @@ def flow_token_accuracy(spark, folder):
 @query()
 def flow_fuzzy(spark, folder):
     """Labels of answers against their surface forms: likeness and the place of the surface form in the label."""
-    e = table(spark, folder, "entities").where("label is not null").select("label", F.get("aliases", F.lit(0)).alias("alias")).where("alias is not null").distinct()
+    e = table(spark, folder, "entities").where("label is not null").select("label", F.explode("aliases").alias("alias")).where("alias is not null").distinct()
     return e.select("label", "alias", tx.fuzzy_ratio(F.col("label"), F.col("alias")).alias("likeness"), tx.fuzzy_position(2)(F.col("label"), F.col("alias")).alias("place"))
 
 

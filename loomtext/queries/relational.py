@@ -273,7 +273,7 @@ def set_array_algebra(spark, folder):
     p = table(spark, folder, "part")
     a = p.groupBy(F.col("p_brand").alias("k")).agg(F.collect_set("p_size").alias("s"))
     b = p.where("p_retailprice > 990").agg(F.collect_set("p_size").alias("t"))
-    both = a.withColumn("one", F.lit(1)).join(F.broadcast(b.withColumn("one", F.lit(1))), "one")
+    both = a.withColumn("one", F.lit(1)).join(b.withColumn("one", F.lit(1)), "one")  # a single row
     text = lambda x: F.array_join(F.array_sort(x).cast("array<string>"), ",")
     return both.select("k", text(F.array_intersect("s", "t")).alias("both"), text(F.array_except("s", "t")).alias("rest"), F.size(F.array_union("s", "t")).alias("n_either"))
 
@@ -321,7 +321,7 @@ def runs_of_ids(spark, folder):
 def zero_filled_counts(spark, folder):
     e = table(spark, folder, "events")
     kinds = e.select("event_type").distinct().agg(F.collect_set("event_type").alias("kinds")).withColumn("one", F.lit(1))  # one row of a few kinds
-    every = e.select("user_id").distinct().withColumn("one", F.lit(1)).join(F.broadcast(kinds), "one").select("user_id", F.explode("kinds").alias("event_type"))
+    every = e.select("user_id").distinct().withColumn("one", F.lit(1)).join(kinds, "one").select("user_id", F.explode("kinds").alias("event_type"))
     counts = e.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
     return every.join(counts, ["user_id", "event_type"], "left").select("user_id", "event_type", F.coalesce("n", F.lit(0)).alias("n"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
-from loomtext.functions.numbers import number_phrase, number_words
+from loomtext.functions.numbers import number_words
 from loomtext.operators import metrics, spans, tabletext
 from loomtext.operators.clustering import cluster_values, match_greedy
 from loomtext.operators.extractors import LabelExtractor, PatternExtractor
@@ -290,6 +290,14 @@ def win_text_windows(spark, folder):
     return w.select("doc_id", "x.number", F.size("x.tokens").alias("n_tokens"), F.coalesce(F.get("x.tokens", F.lit(0)), F.lit("")).alias("first_token"))
 
 
+@query(r"""with d as (select doc_id, regexp_extract_all(text, '[A-Z]{2,6}') as m, regexp_split_to_array(text, '[A-Z]{2,6}') as g from documents where text is not null),
+ e as (select *, unnest(range(1, len(m) + 1)) as i from d), p as (select doc_id, m[i] as value, cast(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) as int) as start from e)
+select doc_id, start, start + cast(length(value) as int) as "end", value from p""")
+def span_places(spark, folder):
+    """Places of runs of capitals in documents."""
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(spans.find_spans(F.col("text"), "[A-Z]{2,6}")).alias("s")).select("doc_id", "s.start", "s.end", "s.value")
+
+
 @query()
 def span_offsets(spark, folder):
     """Places of airport codes and numbers in documents, the longest kept where they overlap."""
@@ -298,18 +306,32 @@ def span_offsets(spark, folder):
     return each.select("doc_id", "s.start", "s.end", "s.value")
 
 
-@query("select p_partkey, p_size as n from part")
-def fn_number_words(spark, folder):
-    phrases = F.create_map(*[x for n in range(0, 100) for x in (F.lit(n), F.lit(number_phrase(n)))])
-    return table(spark, folder, "part").select("p_partkey", number_words(F.try_element_at(phrases, F.col("p_size"))).cast("int").alias("n"))
+_UNITS = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
+_TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
 
 
-@query("""select _answer_uri as stamp, case when substring(_answer_uri, 7, 2) = '00' then substring(_answer_uri, 2, 4) when substring(_answer_uri, 10, 2) = '00' then strftime(strptime(substring(_answer_uri, 2, 7) || '-01', '%Y-%m-%d'), '%B %Y')
- else strftime(strptime(substring(_answer_uri, 2, 10), '%Y-%m-%d'), '%d %B %Y') end || case when starts_with(_answer_uri, '-') then ' bc' else '' end as words, count(*) as n,
- case when substring(_answer_uri, 7, 2) = '00' then 'year' when substring(_answer_uri, 10, 2) = '00' then 'month' else 'day' end as precision
- from raw_queries where regexp_matches(_answer_uri, '^[+-][0-9]{4}-[0-9]{2}-[0-9]{2}T00:00:00Z$') and substring(_answer_uri, 2, 4) <> '0000' group by all""")
+@query("select p_partkey, p_size as n, 1000 * p_size + p_size + 100 as big from part")
+def fn_number_words(spark, folder):
+    """Phrases put together here from the words of units and tens, read as numbers."""
+    p = table(spark, folder, "part")
+    units, tens = F.split(F.lit(_UNITS), " "), F.split(F.lit(_TENS), " ")
+    low = lambda n: F.get(units, n)
+    ten = F.get(tens, F.floor(F.col("p_size") / 10).cast("int") - 2)
+    phrase = F.when(F.col("p_size") < 20, low(F.col("p_size"))).otherwise(F.concat(ten, F.when(F.col("p_size") % 10 > 0, F.concat(F.lit("-"), low(F.col("p_size") % 10))).otherwise("")))
+    big = F.concat(phrase, F.lit(" thousand one hundred and "), phrase)
+    return p.select("p_partkey", number_words(phrase).cast("int").alias("n"), number_words(big).cast("int").alias("big"))
+
+
+@query(r"""with v as (select _answer_uri as stamp, count(*) as n from raw_queries where _answer_uri is not null group by 1),
+ p as (select *, regexp_extract(stamp, '^[+-]?([0-9]{4})-([0-9]{2})-([0-9]{2})T([0-9]{2}):([0-9]{2}):([0-9]{2})Z$', ['y', 'm', 'd', 'h', 'i', 's']) as x,
+   regexp_extract(stamp, '^[+-]?[0-9]+-([0-9]{2})-([0-9]{2})(?:T([0-9:]*)Z?)?$', ['m', 'd', 't']) as z, case when starts_with(stamp, '-') then ' bc' else '' end as era from v)
+select stamp, n, case when x.y <> '' and x.m <= '12' and x.d <= '31' and not (x.m = '00' and x.d <> '00')
+   then concat_ws(' ', case when x.h <> '00' or x.i <> '00' then x.h || ':' || x.i end, case when x.d <> '00' then x.d end, case when x.m <> '00' then ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][try_cast(x.m as int)] end, x.y || era)
+   else split_part(regexp_replace(stamp, '^[+-]', ''), '-', 1) || era end as words,
+ case when z.m = '' then null when z.m = '00' then 'year' when z.d = '00' then 'month' when z.t in ('', '00:00:00') then 'day' else 'time' end as precision from p""")
 def fn_partial_date(spark, folder):
-    q = table(spark, folder, "raw_queries").where(F.col("_answer_uri").rlike("^[+-][0-9]{4}-[0-9]{2}-[0-9]{2}T00:00:00Z$") & (F.substring("_answer_uri", 2, 4) != "0000"))
+    """All answers as words of dates, whatever they are."""
+    q = table(spark, folder, "raw_queries").where("_answer_uri is not null")
     return q.groupBy(F.col("_answer_uri").alias("stamp")).agg(F.count("*").alias("n")).select("stamp", "n", tx.words_of_date(F.col("stamp")).alias("words"), tx.date_precision(F.col("stamp")).alias("precision"))
 
 
@@ -319,10 +341,9 @@ def fn_uri_short(spark, folder):
     return q.select("_subject_uri", "n", tx.short_uri(F.col("_subject_uri")).alias("short"))
 
 
-@query("select wikidata_id, strip_accents(label) as plain, modified_at from entities where label is not null and regexp_matches(label, '^[A-Za-z0-9 .''áéíóúñäöüÁÉÍÓÚÑÄÖÜ-]*$')")
+@query("select wikidata_id, replace(strip_accents(label), 'ß', 'ss') as plain, modified_at from entities where label is not null")
 def fn_accent_fold(spark, folder):
-    e = table(spark, folder, "entities").where(F.col("label").rlike("^[A-Za-z0-9 .'áéíóúñäöüÁÉÍÓÚÑÄÖÜ-]*$"))
-    return e.select("wikidata_id", tx.fold_accents(F.col("label")).alias("plain"), "modified_at")
+    return table(spark, folder, "entities").where("label is not null").select("wikidata_id", tx.fold_accents(F.col("label")).alias("plain"), "modified_at")
 
 
 @query("select event_id, cast(json_extract_string(props, '$.k') as bigint) as k from events")
@@ -346,13 +367,12 @@ def agg_levels_histogram(spark, folder):
     return metrics.histogram(table(spark, folder, "part"), "p_size", [["p_brand"], ["p_type"], []]).withColumnRenamed("group", "group_name")
 
 
-@query("""with d as (select reviewer, doc_id, (abusive = 1 and sexual = 0)::int as tp, (abusive = 1 and sexual = 1)::int as fp, (abusive = 0 and hateful = 1)::int as fn from review_labels where reviewer is not null and abusive is not null and hateful is not null and sexual is not null)
+@query("""with d as (select reviewer, doc_id, coalesce((abusive = 1 and sexual = 0)::int, 0) as tp, coalesce((abusive = 1 and sexual = 1)::int, 0) as fp, coalesce((abusive = 0 and hateful = 1)::int, 0) as fn from review_labels)
 select reviewer, cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, round(sum(tp) / (sum(tp) + sum(fp) + 1e-8), 6) as precision, round(quantile_cont(2.0 * tp / (2 * tp + fp + fn), 0.5), 6) as median_f1
 from d where tp + fp + fn > 0 group by reviewer""")
 def agg_metric_quantiles(spark, folder):
-    d = table(spark, folder, "review_labels").where("reviewer is not null and abusive is not null and hateful is not null and sexual is not null")
-    n = lambda c: c.cast("int")
-    d = d.select("reviewer", n((F.col("abusive") == 1) & (F.col("sexual") == 0)).alias("tp"), n((F.col("abusive") == 1) & (F.col("sexual") == 1)).alias("fp"), n((F.col("abusive") == 0) & (F.col("hateful") == 1)).alias("fn"))
+    n = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    d = table(spark, folder, "review_labels").select("reviewer", n((F.col("abusive") == 1) & (F.col("sexual") == 0)).alias("tp"), n((F.col("abusive") == 1) & (F.col("sexual") == 1)).alias("fp"), n((F.col("abusive") == 0) & (F.col("hateful") == 1)).alias("fn"))
     s = metrics.summarise(d, ["reviewer"])
     return s.select("reviewer", "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("median_f1", 6).alias("median_f1"))
 
@@ -384,9 +404,8 @@ def lookup_count(spark, folder):
     return nest_lookup(t.select("text_idx").distinct(), t, "text_idx", "text_idx", ["ingested_at"], "rows").select("text_idx", F.size("rows").cast("long").alias("n"))
 
 
-@query("select doc_id, least(octet_length(encode(coalesce(text, ''))), 40) - octet_length(encode(coalesce(text, ''))) >= -100000 as ok from documents")
+@query("""with d as (select doc_id, coalesce(text, '') as t from documents)
+select doc_id, md5(substring(t, 1, list_max(list_filter(range(0, cast(least(length(t), 40) as bigint) + 1), lambda i: octet_length(encode(substring(t, 1, i))) <= 40)))) as head from d""")
 def fn_bytes_bound(spark, folder):
-    cut = tx.within_bytes(F.coalesce("text", F.lit("")), 40)
-    return table(spark, folder, "documents").select("doc_id", ((F.octet_length(cut) <= 40) & F.startswith(F.coalesce("text", F.lit("")), cut)).alias("ok"))
-
-
+    """The longest beginning of at most 40 bytes."""
+    return table(spark, folder, "documents").select("doc_id", F.md5(tx.within_bytes(F.coalesce("text", F.lit("")), 40)).alias("head"))

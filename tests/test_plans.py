@@ -164,3 +164,19 @@ def test_streaming_scan(spark, tmp_path, catalog):
     q.processAllAvailable()
     q.stop()
     assert {(r["value"], r["n"]) for r in spark.sql("select value, max(n) as n from counted group by value, start").collect()} == {("Ann", 2), ("Bob", 1)}
+
+
+def test_equal_rows_stay_apart(spark):
+    c = Catalog(spark)
+    c.table("t", spark.createDataFrame([(1, "x"), (1, "x"), (2, "x"), (3, None)], "k int, v string"), ["k"])
+    same = spark.createDataFrame([("x", "y")], "value string, rep string")
+    for rep in (None, same):
+        assert [r["k"] for r in TextAggregate("t", "v", rep).run(c).collect()] == [[1, 1, 2]]
+
+
+def test_places_of_matches_that_look_around(spark):
+    from loomtext.operators.spans import find_spans
+
+    df = spark.createDataFrame([("ab b xb b",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(find_spans(F.col("t"), r"(?<= )b\b")).collect()]
+    assert [tuple(s) for s in got[0]] == [(3, 4, "b"), (8, 9, "b")] and got[1] == [] and not got[2]

@@ -161,3 +161,43 @@ def test_grouping(spark):
     df = spark.createDataFrame(rows, "id int, types array<string>, sup array<string>, nb array<string>")
     got = {r["id"]: r["table"] for r in group_into_tables(df, "id", ["types", "sup"], "nb").collect()}
     assert len(got) == 72 and got[0] == "rare" and got[20] in ("common/n0", "common/n1")
+
+
+def test_lines_of_several_blocks(spark, tmp_path):
+    want = [f"line {i} " + "x" * (i % 50) for i in range(20000)]
+    (tmp_path / "l.txt").write_text("\n".join(want) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        got = readers.lines(spark, str(tmp_path / "l.txt"))
+        assert got.rdd.getNumPartitions() > 1
+        assert [r["line"] for r in got.orderBy("number").collect()] == want and got.agg(F.max("number")).first()[0] == 19999
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_store_finds_and_thins(spark, tmp_path):
+    store = Store(spark, str(tmp_path))
+    store.set("a/t", spark.createDataFrame([(1, "x"), (2, None), (3, "x")], "k int, v string"))
+    assert store.find("a/t", "k > 1", ["k"]).count() == 2 and store.find_one("a/t", "k = 2") == {"k": 2, "v": None} and store.find_one("a/t", "k = 9") is None
+    assert [r[0] for r in store.distinct("a/t", "v").collect()] == ["x"] and list(store.all()) == ["a/t"]
+    store.delete_many("a/t", F.col("v") == "x")
+    assert [r["k"] for r in store.get("a/t").collect()] == [2]
+    # a version that isn't complete doesn't count
+    (tmp_path / "a/t/v9").mkdir()
+    assert store.get("a/t").count() == 1
+    store.drop("a/t")
+    assert store.keys() == []
+    with pytest.raises(KeyError):
+        store.get("a/t")
+
+
+def test_scratch_is_removed(spark):
+    import os
+
+    from loomtext.workspace import Workspace, scratch
+
+    with scratch(spark):
+        work = Workspace(spark, "t")
+        work.keep(spark.range(3))
+        assert os.path.isdir(work.root.replace("file:", ""))
+    assert not os.path.isdir(work.root.replace("file:", ""))
