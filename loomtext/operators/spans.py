@@ -2,8 +2,25 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def _starts(gaps: pa.Array, wholes: pa.Array) -> pa.Array:
+    """Where matches begin, from the lengths of what lies before each of them and of the matches; in one pass however many there are."""
+    n, m = (np.nan_to_num(np.asarray(pc.list_value_length(x).to_numpy(zero_copy_only=False), float)).astype(np.int64) for x in (gaps, wholes))
+    g, w = gaps.flatten().to_numpy(zero_copy_only=False).astype(np.int64), wholes.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    row = np.repeat(np.arange(len(m)), m)
+    at_g, at_w = np.cumsum(n) - n, np.cumsum(m) - m
+    sum_g, sum_w = np.r_[0, np.cumsum(g)], np.r_[0, np.cumsum(w)]
+    i = np.arange(len(w)) - at_w[row]
+    start = sum_g[at_g[row] + i + 1] - sum_g[at_g[row]] + sum_w[np.arange(len(w))] - sum_w[at_w[row]]
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(m)], pa.int32()), pa.array(start, pa.int32()))
 
 
 def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
@@ -15,16 +32,14 @@ def find_spans(text: Column, pattern: str, group: int = 0) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    zipped = F.arrays_zip(found.alias("whole"), inner.alias("value"), F.split(text, pattern, -1).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    starts = _starts(F.transform(F.split(text, pattern, -1), F.length), F.transform(found, F.length))
 
-    def walk(acc: Column, m: Column) -> Column:
-        whole, at = m["whole"], acc["at"] + F.length(m["gap"])
-        begin = at + F.position(m["value"], whole) - 1
-        one = F.struct(begin.cast("int").alias("start"), (begin + F.length(m["value"])).cast("int").alias("end"), m["value"].alias("value"))
-        return F.struct((at + F.coalesce(F.length(whole), F.lit(0))).cast("int").alias("at"), F.when(F.length(whole) > 0, F.array_append(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def one(m: Column) -> Column:
+        begin = m["at"] + F.position(m["value"], m["whole"]) - 1
+        return F.struct(begin.cast("int").alias("start"), (begin + F.length(m["value"])).cast("int").alias("end"), m["value"].alias("value"))
 
-    return F.aggregate(zipped, start, walk, lambda acc: acc["out"])
+    zipped = F.filter(F.arrays_zip(found.alias("whole"), inner.alias("value"), starts.alias("at")), lambda m: F.length(m["whole"]) > 0)
+    return F.when(text.isNotNull(), F.transform(zipped, one))
 
 
 def without_overlap(spans: Column) -> Column:
@@ -76,6 +91,36 @@ def token_at(offsets: Column, place: Column, reach: int = 2) -> Column:
     return F.array_min(near)["i"]
 
 
+def word_start(tokens: Column, at: Column, mark: str = "##") -> Column:
+    """The number of the token that begins the word of the token at a place: back over tokens that start with the mark."""
+    upto = F.slice(tokens, F.lit(1), at + 1)
+    return F.when((at >= 0) & (at < F.size(tokens)), F.greatest(F.lit(0), F.array_max(F.transform(upto, lambda t, i: F.when(~t.startswith(mark), i))))).cast("int")
+
+
+def merge_pieces(tokens: Column, mark: str = "##") -> Column:
+    """array<struct<start, word>>: tokens that start with the mark joined to those before them."""
+    start = F.array().cast("array<struct<start:int,word:string>>")
+    at = F.sequence(F.lit(0), F.size(tokens) - 1)
+
+    def step(acc: Column, i: Column) -> Column:
+        t, last = F.get(tokens, i), F.try_element_at(acc, F.lit(-1))
+        longer = F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.struct(last["start"].alias("start"), F.concat(last["word"], F.substring(t, F.lit(len(mark) + 1), F.length(t))).alias("word")))
+        return F.when(t.startswith(mark) & (F.size(acc) > 0), longer).otherwise(F.array_append(acc, F.struct(i.cast("int").alias("start"), t.alias("word"))))
+
+    return F.when(F.size(tokens) > 0, F.aggregate(at, start, step)).otherwise(start)
+
+
+def in_window(spans: Column, offsets: Column, first: Column, size: int) -> Column:
+    """Spans (start, end) in characters as tokens (start, end) of a window of `size` tokens from `first`, offsets being where tokens begin.
+
+    A span's tokens are those that begin before its end, from the last that begins at or before its start; parts outside the window are cut off, and spans outside left out.
+    """
+    at = lambda place: F.size(F.filter(offsets, lambda o: o <= place)) - 1
+    placed = F.transform(spans, lambda s: F.struct((F.greatest(at(s["start"]), F.lit(0)) - first).alias("start"), (at(s["end"] - 1) + 1 - first).alias("end")))
+    cut = F.transform(placed, lambda s: F.struct(F.greatest(s["start"], F.lit(0)).cast("int").alias("start"), F.least(s["end"], F.lit(size)).cast("int").alias("end")))
+    return F.filter(cut, lambda s: s["start"] < s["end"])
+
+
 def gaps_and_islands(ids: Column) -> Column:
     """array<struct<start, end>> of half-open runs of consecutive numbers of an array; repeats count once."""
     ordered = F.array_sort(F.array_distinct(F.array_compact(ids)))

@@ -37,6 +37,10 @@ class TextView:
     pending: tuple[tuple[str, Callable[[Column], Column]], ...] = ()
     #: documents that can satisfy the predicates at all, where an index knows them: a row each, with the spellings looked for
     only: DataFrame | None = None
+    #: attributes whose values are one value, however many an extractor lists
+    single: tuple[str, ...] = ()
+    #: words of a window and those that two windows share, where texts are too long for an extractor
+    window: tuple[int, int] | None = None
 
     @property
     def multi_row(self) -> bool:
@@ -68,13 +72,29 @@ class TextCollection:
     def text(self) -> str:
         return next(c for c in self.df.columns if c != self.key)
 
-    def view(self, name: str, attributes: Sequence[str], extractor: Extractor, identifying: str | None = None) -> TextView:
-        """Registers a latent table; the key is left out of its attributes."""
-        made = TextView(name, self, tuple(a for a in attributes if a != self.key), extractor, identifying)
+    def view(self, name: str, attributes: Sequence[str], extractor: Extractor, identifying: str | None = None, single: Sequence[str] = (), window: tuple[int, int] | None = None, one_table: bool = False) -> TextView:
+        """Registers a latent table; the key is left out of its attributes.
+
+        single: attributes forced to one value. window: texts are extracted window by window and put together per document.
+        one_table: the collection is to look as if this were its only table, so its other views are dropped.
+        """
+        unknown = [a for a in single if a not in attributes]
+        if unknown or (window is not None and not 0 <= window[1] < window[0]):
+            raise ValueError(f"{self.name}.{name}: {unknown or window}")
+        made = TextView(name, self, tuple(a for a in attributes if a != self.key), extractor, identifying, single=tuple(single), window=window)
+        if one_table:
+            self.views.clear()
         self.views[name] = made
         return made
 
 
+def evidence_columns(df: DataFrame, keys: Sequence[str], text: str | None = None) -> list[str]:
+    """What of a table tells a model about its rows: keys that aren't numbers, and all other columns but the text."""
+    numbers = ("tinyint", "smallint", "int", "bigint")
+    kinds = dict(df.dtypes)
+    return [k for k in keys if kinds[k] not in numbers] + [c for c in df.columns if c not in keys and c != text]
+
+
 class Catalog:
     """Named tables and collections; `collection.view` names a latent table. Tables are temporary views too."""
 

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtext.functions.cells import CELL, cell_has, cell_of, merge_cells
+from loomtext.functions.cells import CELL, cell_has, cell_of, cell_text, merge_cells
 from loomtext.operators.ranking import global_rank
+from loomtext.operators.spans import token_windows
 from loomtext.plans.catalog import Catalog, Table, TextView
 
 
@@ -131,6 +132,39 @@ class Join(Node):
         return Lowered(right.join(left, self.key).select(self.key, *[c for c in right.columns if c != self.key], *[c for c in left.columns if c != self.key]), tuple(dict.fromkeys(keys)))
 
 
+def _forced(cell: Column) -> Column:
+    """A cell whose values are one, listed by commas."""
+    return F.when(F.size(cell) > 1, cell_of(F.array(cell_text(cell)))).otherwise(cell)
+
+
+def _rows(view: TextView, docs: DataFrame, kept: Sequence[str], inner: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """(kept..., names...) of whole texts."""
+    source = view.collection
+    ready, text = view.extractor.prepare(docs, source.key), F.col(source.text)
+    if not view.multi_row:
+        return ready.select(*kept, *[view.extractor.cell(text, a).alias(a) for a in names])
+    rows = ready.select(*kept, F.explode(view.extractor.rows(text, inner, view.identifying)).alias("__r"))
+    return rows.select(*kept, *[F.col(f"__r.`{a}`").alias(a) for a in names])
+
+
+def _window_rows(view: TextView, docs: DataFrame, kept: Sequence[str], inner: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """As _rows, from windows of the texts: each is extracted on its own, and a document's are put together in their order.
+
+    In a multi-row view a first pass collects the identifying values of all windows of a document,
+    and a second one reads every window for each of them, so that what stands apart from a row's name is found as well.
+    """
+    source = view.collection
+    words = F.split(F.coalesce(source.text, F.lit("")), r"\s+")
+    each = docs.select(*kept, F.explode(token_windows(words, *view.window)).alias("__w")).select(*kept, F.array_join("__w.tokens", " ").alias(source.text), F.col("__w.number").alias("__n"))
+    parts = _rows(view, each, [*kept, "__n"], inner, names)
+    one = lambda a: merge_cells(F.transform(F.array_sort(F.collect_list(F.struct("__n", a))), lambda x: x[a])).alias(a)
+    by = [source.key, *([view.identifying] if view.multi_row else [])]
+    # further columns depend on the document alone
+    rest = [F.first(c).alias(c) for c in kept if c != source.key]
+    whole = parts.groupBy(*by).agg(*rest, *[one(a) for a in inner]) if rest or inner else parts.select(*by).distinct()
+    return whole.select(*kept, *names)
+
+
 def extract(view: TextView, attributes: Sequence[str], docs: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """The document key and the attributes' cells; docs may hold further columns, which are kept.
 
@@ -152,15 +186,14 @@ def extract(view: TextView, attributes: Sequence[str], docs: DataFrame | None =
     if unknown:
         raise ValueError(f"{view.full_name} has no attribute {unknown}")
     kept = [c for c in docs.columns if c != source.text]
-    ready = view.extractor.prepare(docs, source.key)
-    text = F.col(source.text)
     if view.multi_row:
         inner = [a for a in every if a != view.identifying]
-        rows = ready.select(*kept, F.explode(view.extractor.rows(text, inner, view.identifying)).alias("__r"))
-        found = rows.select(*kept, *[F.col(f"__r.`{a}`").alias(a) for a in [view.identifying, *inner]])
         wanted = [view.identifying, *[a for a in wanted if a != view.identifying]]
+        names = [view.identifying, *inner]
     else:
-        found = ready.select(*kept, *[view.extractor.cell(text, a).alias(a) for a in every])
+        inner = names = every
+    found = _rows(view, docs, kept, inner, names) if view.window is None else _window_rows(view, docs, kept, inner, names)
+    found = found.select(*kept, *[_forced(F.col(a)).alias(a) if a in view.single and a != view.identifying else F.col(a) for a in names])
     for attribute, test in view.pending:
         value = F.col(attribute)
         found = found.where(test(cell_of(F.array(value)) if attribute == view.identifying else value))
@@ -257,12 +290,18 @@ class TextUnion(Node):
         return Lowered(rows.unionByName(found, allowMissingColumns=True), low.keys)
 
 
-def value_index(view: TextView, attribute: str) -> DataFrame:
-    """(normed, spelling, doc): which documents hold a value, once per document, value and spelling."""
+def value_index(view: TextView, attribute: str, representative: DataFrame | None = None) -> DataFrame:
+    """(normed, spelling, doc): which documents hold a value, once per document, value and spelling.
+
+    representative (value, rep): values known to mean the same go by that name, each with its own spellings.
+    """
     key = view.collection.key
     cell = F.col(attribute) if attribute != view.identifying else cell_of(F.array(F.col(attribute)))
     each = extract(view, [attribute]).select(F.col(key).alias("doc"), F.explode(cell).alias("v"))
-    return each.select("v.normed", F.explode("v.alts").alias("spelling"), "doc").distinct()
+    flat = each.select("v.normed", F.explode("v.alts").alias("spelling"), "doc")
+    if representative is not None:
+        flat = flat.join(representative.select(F.col("value").alias("normed"), "rep"), "normed", "left").select(F.coalesce("rep", "normed").alias("normed"), "spelling", "doc")
+    return flat.distinct()
 
 
 def closest_value(index: DataFrame, documents: int, share: float) -> str | None:
@@ -285,13 +324,15 @@ class TextSelect(Node):
     share: float = 0.0
     constant: str | None = None
     indexed: bool = False
+    #: (value, rep): values that mean the same, as cluster_values gives them; used by an indexed selection
+    synonyms: DataFrame | None = None
 
     def name(self) -> str:
         return f"σ {self.attribute} ({self.source})"
 
     def view(self, catalog: Catalog) -> TextView:
         view = _view(self.source, catalog)
-        index = value_index(view, self.attribute)
+        index = value_index(view, self.attribute, self.synonyms)
         constant = self.constant if self.constant is not None else closest_value(index, view.collection.df.count(), self.share)
         if constant is None:
             return view.narrowed(self.attribute, lambda cell: F.lit(False), None)

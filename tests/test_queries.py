@@ -6,11 +6,11 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from loomtext.queries import corpus, corpusflow, relational, sources, texttables
+from loomtext.queries import corpus, corpusflow, latent, relational, sources, texttables
 from tools_compare import rows
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-MODULES = [corpus, relational, texttables, corpusflow, sources]
+MODULES = [corpus, relational, texttables, corpusflow, sources, latent]
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="no tables")
 
 
