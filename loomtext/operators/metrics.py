@@ -47,6 +47,11 @@ def summarise(per_document: DataFrame, by: Sequence[str]) -> DataFrame:
     return out.select(*by, "tp", "fp", "fn", *[c.alias(n) for n, c in micro.items()], "mean_f1", F.get("q", F.lit(0)).alias("q1_f1"), F.get("q", F.lit(1)).alias("median_f1"), F.get("q", F.lit(2)).alias("q3_f1"), "min_f1", "max_f1")
 
 
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """df with its doubles rounded."""
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def table_f1(predicted: Column, target: Column) -> dict[str, Column]:
     """Precision, recall and f1 of the distinct cells (any comparable items) of two arrays."""
     hit = F.size(F.array_intersect(predicted, target)).cast("double")

@@ -131,7 +131,14 @@ def p4_objects(spark: SparkSession, folder: str) -> DataFrame:
     return reports(spark, folder).occurrences.groupBy("file_id").agg(F.count("*").alias("n_objects"), F.count("root").alias("n_roots"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_paths, p1_descendants, p2_found, p2_wide, p2_cells, p2_many, p4_found, p4_reports, p4_mentions, p4_rounds, p4_checks, p4_bridge, p4_occurrences, p4_objects)}
+def p4_links(spark: SparkSession, folder: str) -> DataFrame:
+    """How often an object stands in another one under each field, by the bridge of contents and their occurrences."""
+    t = reports(spark, folder)
+    times = t.occurrences.groupBy(F.col("hash").alias("parent")).agg(F.count("*").alias("times"))
+    return t.bridge().where("child is not null").groupBy("parent", "field").agg(F.count("*").alias("n")).join(times, "parent").groupBy("field").agg(F.sum(F.col("n") * F.col("times")).alias("n_links"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_hierarchy, p1_paths, p1_descendants, p2_found, p2_wide, p2_cells, p2_many, p4_found, p4_reports, p4_mentions, p4_rounds, p4_checks, p4_bridge, p4_occurrences, p4_objects, p4_links)}
 
 _ID = r"upper(regexp_extract({0}, '(?i)^(?:.*[/:#])?\s*({1}[0-9]+)\s*$', 1))"
 _NOW = f"""
@@ -219,6 +226,9 @@ SQL = {
     "p4_checks": f"""with {_RECORDS}, {_ROUNDS},
  checks as (select report_number, round, cast(i as int) as "check", json_extract(e, '$.checks[' || i || ']') as c from (select *, unnest(range(coalesce(cast(json_array_length(e, '$.checks') as bigint), 0))) as i from rounds))
  select report_number, round, "check", json_extract_string(c, '$.attr') as attribute, json_extract_string(c, '$.ok') = 'true' as ok, cast(json_extract(c, '$.hits') as varchar) as hits from checks""",
+    "p4_links": r"""with valid as (select payload::json as j from annotated_reports where payload is not null and trim(payload) <> '' and json_valid(payload)),
+ n as (select regexp_extract(t.fullkey, '\."?([^."\[\]]+)"?(?:\[[0-9]+\])*$', 1) as field from valid, json_tree(j) t where t.type = 'OBJECT')
+ select field, count(*) as n_links from n where field <> '' group by field""",
     "p4_objects": """with valid as (select file_id, payload::json as j from annotated_reports where payload is not null and trim(payload) <> '' and json_valid(payload)),
  tops as (select file_id, case when json_type(j) = 'OBJECT' then 1 else len(list_filter(json_extract(j, '$[*]'), lambda x: json_type(x) = 'OBJECT')) end as n_roots from valid)
  select o.file_id, n_objects, n_roots from (select file_id, count(*) as n_objects from valid, json_tree(j) t where t.type = 'OBJECT' group by file_id) o join tops on tops.file_id = o.file_id""",

@@ -8,6 +8,7 @@ from loomtext.functions import text as tx
 from loomtext.operators import corpussteps as cs
 from loomtext.operators import metrics
 from loomtext.operators.ranking import top_per_group
+from loomtext.queries.corpus import _RECORDS
 from loomtext.queries.tables import table
 
 QUERIES: dict = {}
@@ -50,7 +51,15 @@ def flow_group_mentions(spark, folder):
     return g.select("doc", F.size("queries").cast("long").alias("n_queries"), add(lambda q: F.size(q["answers"])).alias("n_answers"), add(total).alias("n_mentions"))
 
 
-@query()
+def _share(key: str, seed: int) -> str:
+    return f"('0x' || substring(md5({key} || '|{seed}'), 1, 8))::bigint / 4294967296.0"
+
+
+@query(f"""with t as (select text_idx, source, coalesce(_testset, 0) as split from (select text_idx, source, _testset, row_number() over (partition by text_idx order by source desc nulls last, coalesce(_testset, 0) desc) as rn from texts where text_idx is not null) where rn = 1),
+ r as (select text_idx, source, split, row_number() over (partition by split, source order by {_share("text_idx || '|' || source", 3)}, text_idx) as i from t where source is not null),
+ f as (select a.text_idx, b.text_idx as other from r a join r b on a.split = b.split and a.source = b.source and a.text_idx <> b.text_idx and b.i between a.i - 4 and a.i + 4),
+ m as (select text_idx, arg_min(other, ({_share("text_idx || '|' || other", 3)}, other)) as other from f group by text_idx)
+select t.text_idx, m.other from t left join m using (text_idx)""")
 def flow_confusion(spark, folder):
     """For each text, another of its split and source."""
     t = table(spark, folder, "texts").where("text_idx is not null").groupBy("text_idx").agg(F.max(F.struct("source", F.coalesce("_testset", F.lit(0)).alias("split"))).alias("r"))
@@ -98,7 +107,18 @@ def flow_name_pieces(spark, folder):
     return cs.name_pieces(table(spark, folder, "incidents"), "location_city")
 
 
-@query()
+def _places(name: str, rx: str, value: str) -> str:
+    return f"""{name}_s as (select doc_id, regexp_extract_all(text, '{rx}') as m, regexp_split_to_array(text, '{rx}') as g from documents where text is not null),
+ {name}_e as (select *, unnest(range(1, len(m) + 1)) as i from {name}_s),
+ {name} as (select doc_id, m[i] as {value}, cast(list_sum([length(x) for x in g[1:i]]) + coalesce(list_sum([length(x) for x in m[1:i - 1]]), 0) as int) as s, length(m[i]) as l from {name}_e)"""
+
+
+def _nearest(spans: str, value: str) -> str:
+    return f"(select arg_min(x.{value}, (greatest(0, x.s - v.s - v.l, v.s - x.s - x.l), x.s, x.{value})) from {spans} x where x.doc_id = v.doc_id)"
+
+
+@query(f"""with {_places('v', '[0-9]+', 'value')}, {_places('n', '[A-Z][a-z]+ [A-Z][a-z]+', 'name')}, {_places('c', 'points|assists|rebounds|steals', 'col')}
+select doc_id, s as start, cast(s + l as int) as "end", value, {_nearest('n', 'name')} as name, {_nearest('c', 'col')} as "column" from v""")
 def flow_alignment(spark, folder):
     """Numbers of reports of games with the nearest name and statistic."""
     from loomtext.operators.spans import find_spans
@@ -121,11 +141,24 @@ def flow_fuzzy(spark, folder):
     return e.select("label", "alias", tx.fuzzy_ratio(F.col("label"), F.col("alias")).alias("likeness"), tx.fuzzy_position(2)(F.col("label"), F.col("alias")).alias("place"))
 
 
-@query()
+def _scored(pairs: str, by: str) -> str:
+    """SQL of metrics.summarise over pairs (by, value, forms) of one predicted value and the sets that it may be in."""
+    return f"""counted as (select {by}, cast(coalesce(list_contains(forms, value), false) as int) as tp, cast(coalesce(value, '') <> '' as int) as has, n_sets from ({pairs})),
+ own as (select {by}, tp, has - tp as fp, n_sets - tp as fn, tp / (has + 1e-8) as p, tp / (n_sets + 1e-8) as r from counted where has + n_sets > 0),
+ f as (select *, 2 * p * r / (p + r + 1e-8) as own from own),
+ g as (select {by}, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn, sum(tp) / (sum(tp) + sum(fp) + 1e-8) as precision, sum(tp) / (sum(tp) + sum(fn) + 1e-8) as recall, avg(own) as mean_f1, quantile_cont(own, 0.25) as q1_f1, quantile_cont(own, 0.5) as median_f1, quantile_cont(own, 0.75) as q3_f1, min(own) as min_f1, max(own) as max_f1 from f group by {by})
+ select {by}, cast(tp as bigint) as tp, cast(fp as bigint) as fp, cast(fn as bigint) as fn, round(precision, 6) as precision, round(recall, 6) as recall, round(2 * precision * recall / (precision + recall + 1e-8), 6) as f1, round(mean_f1, 6) as mean_f1, round(q1_f1, 6) as q1_f1, round(median_f1, 6) as median_f1, round(q3_f1, 6) as q3_f1, round(min_f1, 6) as min_f1, round(max_f1, 6) as max_f1 from g"""
+
+
+_FORM = "replace(strip_accents(replace(lower({0}), ' ', '')), 'ß', 'ss')"
+
+
+@query(f"""with {_RECORDS}, labels as (select report_number, list(distinct {_FORM.format('mention')}) as forms, count(distinct mention) as n_sets from ment where attribute = 'location_city' group by report_number),
+ {_scored(f"select i.location_state, {_FORM.format('location_city')} as value, forms, n_sets from (select distinct * from incidents) i join labels using (report_number)", 'location_state')}""")
 def flow_value_counts(spark, folder):
     """Cities of incidents against the cities their reports name, as found values and misses, per state."""
     from loomtext.queries.corpus import reports
 
     labels = reports(spark, folder).mentions().where("attribute = 'location_city'").groupBy("report_number").agg(F.array_distinct(F.collect_list(F.array("mention"))).alias("sets"))
     both = table(spark, folder, "incidents").distinct().join(labels, "report_number").select("location_state", "report_number", metrics.value_counts(F.array("location_city"), F.col("sets")).alias("c"))
-    return metrics.summarise(both.select("location_state", "report_number", "c.*"), ["location_state"])
+    return metrics.rounded(metrics.summarise(both.select("location_state", "report_number", "c.*"), ["location_state"]))

@@ -169,7 +169,8 @@ def text_aggregate_lastwins(spark, folder):
     return got.select("wind", F.size("doc_id").cast("long").alias("n_docs"))
 
 
-@query()
+@query("""with s as (select doc_id, max(w) as w from (select doc_id, unnest(regexp_extract_all(text, 'Z[A-Z]{3}')) as w from documents) group by doc_id)
+select w as airport, count(*) as n_docs from s group by w""")
 def text_aggregate_synonyms(spark, folder):
     """Documents by airport, spellings within a fifth of each other taken as one."""
     c = texts(spark, folder)
@@ -218,7 +219,17 @@ def label_oracle_join(spark, folder):
     return flat(TextJoin("damage", "reports.incident", "report_number", ("known_damage", "location_city", "weather_condition")).run(incident_reports(spark, folder)))
 
 
-@query()
+def _oracle_scores() -> str:
+    from loomtext.queries.corpus import _RECORDS
+    from loomtext.queries.corpusflow import _FORM, _scored
+
+    cols = ("event_date", "location_city", "location_state", "airport_code", "airport_name")
+    rows = " union all ".join(f"select report_number, '{c}' as attribute, {_FORM.format(c)} as value from (select distinct * from incidents)" for c in cols)
+    good = f"select report_number, attribute, list(distinct {_FORM.format('mention')}) as forms, count(distinct lower(mention)) as n_sets from placed where st >= 0 and le >= 0 and st + le <= length(text) and substring(text, st + 1, le) = mention group by 1, 2"
+    return f"with {_RECORDS}, labels as ({good}), given as ({rows}), {_scored('select attribute, value, coalesce(forms, []) as forms, coalesce(n_sets, 0) as n_sets from given join best using (report_number) left join labels using (report_number, attribute)', 'attribute')}"
+
+
+@query(_oracle_scores())
 def label_oracle_scores(spark, folder):
     """Rows of incidents as predictions against the oracle's cells, per attribute."""
     c = incident_reports(spark, folder)
@@ -229,7 +240,7 @@ def label_oracle_scores(spark, folder):
     for a in cols:
         one = both.select("report_number", F.lit(a).alias("attribute"), metrics.value_counts(F.array(a), F.col(f"t_{a}")).alias("c")).select("attribute", "report_number", "c.*")
         each = one if each is None else each.unionByName(one)
-    return metrics.summarise(each, ["attribute"])
+    return metrics.rounded(metrics.summarise(each, ["attribute"]))
 
 
 _TABLE = "'| name | size | <NEWLINE> | ' || p_name || ' | ' || p_size || ' | <NEWLINE> | ' || p_brand || ' | '"
