@@ -73,6 +73,35 @@ def enrich(queries: DataFrame, texts: DataFrame, neighbors: DataFrame, key: str,
     return queries.join(texts, key, "left").join(lists, key, "left").withColumn("evidence", F.coalesce("evidence", F.array().cast(lists.schema["evidence"].dataType)))
 
 
+def named_neighbors(neighbors: DataFrame, names: DataFrame, key: str, most: int = 2) -> DataFrame:
+    """(key, evidence, types): up to `most` neighbours (key, p, o) in order of p and o, with their label, description and types from names (id, label, description, types); types are those of all of these, sorted."""
+    near = top_per_group(neighbors.where("o is not null").distinct(), [key], [F.col("p"), F.col("o")], most)
+    told = near.join(names.select(F.col("id").alias("o"), "label", "description", "types"), "o", "left")
+    words = F.concat_ws(", ", F.coalesce("label", "o"), "description")
+    return told.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "o", words.alias("text")))).alias("evidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("types", F.array().cast("array<string>")))))).alias("types"))
+
+
+def prepared_texts(texts: DataFrame, facts: DataFrame, tests: Sequence[int], key: str = "doc") -> DataFrame:
+    """(key, text, covers, testset, is_test): texts (key, text) with the distinct facts (key, s, p, o, start, end, split) that have a place, in order of it, the greatest split of any of their facts, and whether that is one of the tests. Texts without facts have none and split 0."""
+    placed = facts.where("start is not null and end is not null").select(key, F.struct("start", "end", "s", "p", "o").alias("c")).distinct()
+    covers = placed.groupBy(key).agg(F.array_sort(F.collect_list("c")).alias("covers"))
+    splits = facts.groupBy(key).agg(F.max("split").alias("testset"))
+    out = texts.join(covers, key, "left").join(splits, key, "left")
+    split = F.coalesce("testset", F.lit(0))
+    return out.select(key, "text", F.coalesce("covers", F.array().cast(covers.schema["covers"].dataType)).alias("covers"), split.alias("testset"), split.isin(list(tests)).alias("is_test"))
+
+
+def cut_out(names: Column, key: Column, share: float, seed: int) -> Column:
+    """Names of columns, of which a share is null by seeded hash of key and place."""
+    return F.transform(names, lambda n, i: F.when(F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(100_000)) / 100_000.0 >= share, n))
+
+
+def relevant_texts(asked: DataFrame, answers: DataFrame, by: Sequence[str], doc: str) -> DataFrame:
+    """asked (by..., doc, ...) with `relevant`: whether answers (by..., doc) has one from that document."""
+    have = answers.select(*by, doc).distinct().withColumn("__r", F.lit(True))
+    return asked.join(have, [*by, doc], "left").withColumn("relevant", F.coalesce("__r", F.lit(False))).drop("__r")
+
+
 def date_patterns(stamp: Column) -> Column:
     """A stamp at its own and all coarser precisions, finest first: full, minute, hour, day, month, year."""
     at = lambda n, rest: F.concat(F.substring(stamp, 1, n), F.lit(rest))

@@ -89,6 +89,36 @@ def prompt(text: Column, columns: Sequence[str], shots: Column | None = None) ->
     return ask if shots is None else F.concat_ws("\n\n", shots, ask)
 
 
+def cost(texts: Sequence[Column], answers: Sequence[Column], dollars_in: float, dollars_out: float) -> Column:
+    """Dollars of a call by the words it sends and those it gets back, at prices per thousand; null texts cost nothing."""
+    words = lambda x: F.size(F.filter(F.split(F.coalesce(x, F.lit("")), r"\s+"), lambda w: w != ""))
+    total = lambda xs: sum((words(x) for x in xs), F.lit(0))
+    return (total(texts) * F.lit(dollars_in) + total(answers) * F.lit(dollars_out)) / 1000
+
+
+def allowed_tokens(prefix: Column, most_columns: int) -> Column:
+    """What may follow the beginning of a table written cell by cell (array of tokens, `|` and `<NEWLINE>` among them): array of `|`, `<NEWLINE>` and `word`.
+
+    A row begins and ends with `|`; the first row sets how many cells all have, at most `most_columns`. Null for a beginning that breaks this.
+    """
+    start = F.struct(F.lit(0).alias("bars"), F.lit(0).alias("width"), F.lit(0).alias("row"), F.lit(True).alias("ok"))
+
+    def step(acc: Column, t: Column) -> Column:
+        bars, width, row = acc["bars"], acc["width"], acc["row"]
+        most = F.when(row == 0, F.lit(most_columns + 1)).otherwise(width)
+        end = F.when(row == 0, bars >= 2).otherwise(bars == width)
+        ok = acc["ok"] & F.when(t == "|", bars < most).when(t == BREAK, end).otherwise((bars > 0) & ~F.when(row == 0, bars > most_columns).otherwise(bars == width))
+        return F.struct(F.when(t == BREAK, 0).when(t == "|", bars + 1).otherwise(bars).alias("bars"), F.when((t == BREAK) & (row == 0), bars).otherwise(width).alias("width"), F.when(t == BREAK, row + 1).otherwise(row).alias("row"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+    def after(acc: Column) -> Column:
+        most = F.when(acc["row"] == 0, F.lit(most_columns + 1)).otherwise(acc["width"])
+        end = F.when(acc["row"] == 0, acc["bars"] >= 2).otherwise(acc["bars"] == acc["width"])
+        may = [F.when(acc["bars"] < most, "|"), F.when(end, BREAK), F.when((acc["bars"] > 0) & (acc["bars"] < most), "word")]
+        return F.when(acc["ok"], F.array_compact(F.array(*may)))
+
+    return F.aggregate(prefix, start, step, after)
+
+
 def fit_budget(messages: Column, budget: int) -> Column:
     """The last messages (array of strings) whose words together don't exceed the budget."""
     words = lambda m: F.size(F.filter(F.split(m, r"\s+"), lambda w: w != ""))

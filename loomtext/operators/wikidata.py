@@ -10,6 +10,9 @@ from loomtext.functions.text import short_uri, words_of_date
 _SNAK = "struct<datatype:string,datavalue:struct<type:string,value:string>>"
 _CLAIMS = f"map<string,array<struct<mainsnak:{_SNAK},rank:string,qualifiers:map<string,array<{_SNAK}>>>>>"
 
+_WORDS = "struct<en:struct<value:string>>"
+_ENTITY = f"struct<id:string,labels:{_WORDS},descriptions:{_WORDS},aliases:struct<en:array<struct<value:string>>>,claims:{_CLAIMS}>"
+
 
 def _claims(entity: Column) -> Column:
     return F.from_json(F.get_json_object(entity, "$.claims"), _CLAIMS)
@@ -32,12 +35,13 @@ def shred_entities(df: DataFrame, entity: str) -> DataFrame:
 
     Types and superclasses are P31 and P279, neighbours all items named by the best claims.
     """
-    e = df.select(F.col(entity).alias("e"), _claims(F.col(entity)).alias("c"))
+    # one parse of each entity gives all of it
+    e = df.select(F.from_json(entity, _ENTITY).alias("e")).select("e", F.col("e.claims").alias("c"))
     items = lambda p: F.coalesce(_items(_best(F.try_element_at("c", F.lit(p)))), F.array().cast("array<string>"))
     pairs = F.flatten(F.transform(F.map_entries("c"), lambda x: F.transform(_items(_best(x["value"])), lambda o: F.struct(o.alias("o"), x["key"].alias("p")))))
-    aliases = F.transform(F.from_json(F.get_json_object("e", "$.aliases.en"), "array<struct<value:string>>"), lambda a: a["value"])
+    aliases = F.transform("e.aliases.en", lambda a: a["value"])
     return e.select(
-        F.get_json_object("e", "$.id").alias("wikidata_id"), F.get_json_object("e", "$.labels.en.value").alias("label"), F.get_json_object("e", "$.descriptions.en.value").alias("description"),
+        F.col("e.id").alias("wikidata_id"), F.col("e.labels.en.value").alias("label"), F.col("e.descriptions.en.value").alias("description"),
         F.coalesce(aliases, F.array().cast("array<string>")).alias("aliases"), items("P31").alias("types"), items("P279").alias("superclasses"), F.coalesce(pairs, F.array().cast("array<struct<o:string,p:string>>")).alias("neighbors"),
     )
 
@@ -50,13 +54,27 @@ def properties(df: DataFrame, entity: str) -> DataFrame:
     return one.select("wikidata_id", "property", "pos", F.col("c.mainsnak.datavalue.type").alias("kind"), F.col("c.mainsnak.datavalue.value").alias("value"), plain.alias("qualifiers"))
 
 
-def value_text(values: DataFrame, labels: DataFrame, style: str = "default") -> DataFrame:
-    """values (kind, value, ...) with `text`: in style default as words, with labels (id, label) for items and units; in style uri as a URI, null for kinds without one."""
+def names_of(ids: DataFrame, labels: DataFrame, aliases: DataFrame, seed: int | None = None) -> DataFrame:
+    """ids (id, ...) with `label` and `term`: the label of labels (id, label), or else the id itself; and one of the label and aliases (id, aliases), by seeded hash of the id, or the label without a seed."""
+    named = ids.join(labels.select("id", "label").dropDuplicates(["id"]), "id", "left").join(aliases.select("id", F.col("aliases").alias("__a")).dropDuplicates(["id"]), "id", "left")
+    label = F.coalesce("label", "id")
+    terms = F.array_distinct(F.concat(F.array(label), F.coalesce(F.array_compact("__a"), F.array().cast("array<string>"))))
+    term = label if seed is None else F.get(terms, F.pmod(F.xxhash64("id", F.lit(seed)), F.size(terms)).cast("int"))
+    return named.select(*ids.columns, label.alias("label"), term.alias("term"))
+
+
+def value_text(values: DataFrame, labels: DataFrame, style: str = "default", aliases: DataFrame | None = None, seed: int = 0) -> DataFrame:
+    """values (kind, value, ...) with `text`: in style default as words, with labels (id, label) for items and units; in style rand_term with one of
+    the label and aliases (id, aliases) by seeded hash; in style uri as a URI, null for kinds without one.
+    """
     get = lambda path: F.get_json_object("value", path)
     kind = F.col("kind")
     if style == "uri":
         text = F.when(kind == "time", F.concat(get("$.time"), F.lit("^^http://www.w3.org/2001/XMLSchema#dateTime"))).when(kind == "wikibase-entityid", F.concat(F.lit("http://www.wikidata.org/entity/"), get("$.id")))
         return values.withColumn("text", text)
+    if style == "rand_term":
+        every = labels.select("id").unionByName(aliases.select("id")).distinct() if aliases is not None else labels.select("id").distinct()
+        labels = names_of(every, labels, aliases if aliases is not None else labels.select("id", F.array().cast("array<string>").alias("aliases")), seed).select("id", F.col("term").alias("label"))
     wanted = F.when(kind == "wikibase-entityid", get("$.id")).when(kind == "quantity", short_uri(get("$.unit")))
     named = values.withColumn("__id", wanted).join(labels.select(F.col("id").alias("__id"), F.col("label").alias("__label")), "__id", "left")
     text = (

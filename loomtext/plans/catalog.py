@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -105,12 +106,12 @@ class Catalog:
 
     def table(self, name: str, df: DataFrame, keys: Sequence[str]) -> Table:
         self.tables[name] = Table(name, df, tuple(keys))
-        df.createOrReplaceTempView(name.replace(".", "__"))
+        df.createOrReplaceTempView(re.sub(r"\W", "__", name))
         return self.tables[name]
 
     def collection(self, name: str, df: DataFrame, key: str) -> TextCollection:
         self.texts[name] = TextCollection(name, df, key)
-        df.createOrReplaceTempView(name.replace(".", "__"))
+        df.createOrReplaceTempView(re.sub(r"\W", "__", name))
         return self.texts[name]
 
     def get(self, name: str) -> Table | TextView | TextCollection:

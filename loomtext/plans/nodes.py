@@ -16,6 +16,7 @@ from loomtext.functions.cells import CELL, cell_has, cell_of, cell_text, merge_c
 from loomtext.operators.ranking import global_rank
 from loomtext.operators.spans import token_windows
 from loomtext.plans.catalog import Catalog, Table, TextView
+from loomtext.workspace import Workspace
 
 
 #: Column of the documents of an indexed selection: the spellings in them that it looks for.
@@ -332,7 +333,10 @@ class TextSelect(Node):
 
     def view(self, catalog: Catalog) -> TextView:
         view = _view(self.source, catalog)
-        index = value_index(view, self.attribute, self.synonyms)
+        if self.constant is not None and not self.indexed:
+            return view.narrowed(self.attribute, lambda cell: cell_has(cell, F.array(F.lit(self.constant))), None)
+        # the texts are read once for the index, however often it is asked
+        index = Workspace(catalog.spark, "index").keep(value_index(view, self.attribute, self.synonyms), "index")
         constant = self.constant if self.constant is not None else closest_value(index, view.collection.df.count(), self.share)
         if constant is None:
             return view.narrowed(self.attribute, lambda cell: F.lit(False), None)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomtext.functions import text as tx
-from loomtext.operators import alignment, evaluation, joins, spans, synthesis
+from loomtext.operators import alignment, evaluation, joins, spans, synthesis, tabletext, wikidata
+from loomtext.operators import corpussteps as cs
 from loomtext.operators.extractors import PatternExtractor
+from loomtext.operators.ranking import top_per_group
 from loomtext.plans.catalog import evidence_columns
 from loomtext.plans.nodes import Project, Select, TextAggregate, TextJoin, TextScan, TextSelect, TextUnion
 from loomtext.queries.tables import table
@@ -377,3 +379,59 @@ def fn_value_in_text(spark, folder):
     """Long values are looked for anywhere, short ones as words."""
     d = table(spark, folder, "documents").where("text is not null")
     return d.select("doc_id", F.lit("wind").alias("v"), tx.value_in_text(F.lit("k"), F.lit("Knots"), F.col("text")).alias("long_in"), tx.value_in_text(F.lit("k"), F.lit("Of"), F.col("text")).alias("short_in"))
+
+
+@query("""with now as (select wikidata_id, label, description, types from (select *, row_number() over (partition by wikidata_id order by modified_at desc, ingested_at desc, label, description) as rn from entities where wikidata_id is not null) where rn = 1),
+ n as (select distinct wikidata_id, x.p as p, x.o as o from (select wikidata_id, unnest(neighbors) as x from entities where wikidata_id is not null) where x.o is not null),
+ r as (select *, row_number() over (partition by wikidata_id order by p, o) as rn from n), t as (select r.*, label, description, types from r left join now on now.wikidata_id = r.o where rn <= 2)
+select wikidata_id, string_agg(p || '=' || concat_ws(', ', coalesce(label, o), description), ';' order by p, o) as evidence, (select coalesce(string_agg(distinct y, ',' order by y), '') from (select unnest(types) as y, wikidata_id as w from t) z where z.w = t.wikidata_id) as types from t group by wikidata_id""")
+def flow_named_neighbors(spark, folder):
+    """Entities with what their first neighbours are called and described as, and these neighbours' types."""
+    e = table(spark, folder, "entities").where("wikidata_id is not null")
+    now = top_per_group(e, ["wikidata_id"], [F.desc("modified_at"), F.desc("ingested_at"), F.col("label"), F.col("description")]).select(F.col("wikidata_id").alias("id"), "label", "description", "types")
+    near = e.select("wikidata_id", F.explode("neighbors").alias("x")).select("wikidata_id", "x.p", "x.o")
+    got = cs.named_neighbors(near, now, "wikidata_id")
+    return got.select("wikidata_id", F.array_join(F.transform("evidence", lambda x: F.concat(x["p"], F.lit("="), x["text"])), ";").alias("evidence"), F.array_join(F.array_compact("types"), ",").alias("types"))
+
+
+_SPLIT = "case when _doc like '%7' then 3 when _doc like '%8' then 4 when _attr_uri like '%5' then 1 else 0 end"
+
+
+@query(f"""with t as (select text_idx as doc, max(text) as text from texts where text_idx is not null group by 1), f as (select *, {_SPLIT} as split from raw_queries),
+ c as (select _doc as doc, count(*) as n from (select distinct _doc, _answer_start, _answer_end, _subject_uri, _attr_uri, _answer_uri from f where _answer_start is not null and _answer_end is not null) group by 1), m as (select _doc as doc, max(split) as s from f group by 1)
+select t.doc, length(text) as n_chars, coalesce(n, 0) as n_covers, coalesce(s, 0) as testset, coalesce(s, 0) in (3, 4) as is_test from t left join c using (doc) left join m using (doc)""")
+def flow_prepared_texts(spark, folder):
+    """Texts with the facts that cover them and the split they go to."""
+    t = table(spark, folder, "texts").where("text_idx is not null").groupBy(F.col("text_idx").alias("doc")).agg(F.max("text").alias("text"))
+    f = table(spark, folder, "raw_queries").select(F.col("_doc").alias("doc"), F.col("_subject_uri").alias("s"), F.col("_attr_uri").alias("p"), F.col("_answer_uri").alias("o"), F.col("_answer_start").alias("start"), F.col("_answer_end").alias("end"), F.expr(_SPLIT).alias("split"))
+    got = cs.prepared_texts(t, f, [3, 4])
+    return got.select("doc", F.length("text").cast("long").alias("n_chars"), F.size("covers").cast("long").alias("n_covers"), "testset", "is_test")
+
+
+@query("""with a as (select distinct _subject_uri as s, _attr_uri as a from raw_queries), h as (select distinct _subject_uri as s, _attr_uri as a, _doc as doc from raw_queries where _answer_start is not null)
+select a.s, a.a, d.doc, h.s is not null as relevant from a, (values ('T000000007'), ('T000000042')) d(doc) left join h on h.s = a.s and h.a = a.a and h.doc = d.doc where a.s is not null and a.a is not null""")
+def flow_relevant_texts(spark, folder):
+    """Which of two texts answers each question."""
+    q = table(spark, folder, "raw_queries").select(F.col("_subject_uri").alias("s"), F.col("_attr_uri").alias("a"), F.col("_doc").alias("doc"), F.col("_answer_start").alias("start"))
+    asked = q.where("s is not null and a is not null").select("s", "a").distinct().withColumn("doc", F.explode(F.array(F.lit("T000000007"), F.lit("T000000042"))))
+    return cs.relevant_texts(asked, q.where("start is not null"), ["s", "a"], "doc")
+
+
+@query("""select wikidata_id, label_of as label, term_of as term, true as among from (select id as wikidata_id, coalesce(min(label), id) as label_of, coalesce(min(label), id) as term_of from (select distinct wikidata_id as id from entities where wikidata_id is not null union select distinct c from (select unnest(superclasses) as c from entities) where c is not null) left join (select wikidata_id as id, min(label) as label from entities group by 1) using (id) group by id)""")
+def flow_names(spark, folder):
+    """Ids with their label or else themselves; a term by chance is the label or another name."""
+    e = table(spark, folder, "entities").where("wikidata_id is not null")
+    ids = e.select(F.col("wikidata_id").alias("id")).union(e.select(F.explode("superclasses")).where("col is not null")).distinct()
+    labels, aliases = e.groupBy(F.col("wikidata_id").alias("id")).agg(F.min("label").alias("label")), e.groupBy(F.col("wikidata_id").alias("id")).agg(F.max("aliases").alias("aliases"))
+    plain = wikidata.names_of(ids, labels, aliases)
+    other = wikidata.names_of(ids, labels, aliases, seed=5).select("id", F.col("term").alias("t")).join(aliases, "id", "left")
+    among = other.join(labels, "id", "left").select("id", (F.coalesce("label", "id") == F.col("t")) .alias("same"), F.coalesce(F.array_contains("aliases", F.col("t")), F.lit(False)).alias("alias"))
+    return plain.join(among, "id").select(F.col("id").alias("wikidata_id"), "label", "term", (F.col("same") | F.col("alias")).alias("among"))
+
+
+@query("""select p_partkey, case p_size % 5 when 0 then '|' when 1 then '|,word' when 2 then '|,<NEWLINE>,word' when 3 then '<NEWLINE>' else 'bad' end as may from part""")
+def tabletext_allowed(spark, folder):
+    """What may follow beginnings of tables of at most two columns."""
+    begun = [[], ["|", "a"], ["|", "a", "|"], ["|", "a", "|", "b", "|"], ["|", "a", "|", "<NEWLINE>", "|", "b", "|", "c"]]
+    prefix = F.get(F.array(*[F.array(*[F.lit(t) for t in x]).cast("array<string>") for x in begun]), (F.col("p_size") % 5).cast("int"))
+    return table(spark, folder, "part").select("p_partkey", F.coalesce(F.array_join(tabletext.allowed_tokens(prefix, 2), ","), F.lit("bad")).alias("may"))

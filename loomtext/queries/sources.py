@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomtext.functions.cells import cell_text
 from loomtext.operators import corpussteps as cs
 from loomtext.operators import wikidata
-from loomtext.sources import readers, sinks
+from loomtext.plans.nodes import TextScan
+from loomtext.sources import databases, readers, sinks
 from loomtext.queries.tables import table
 from loomtext.workspace import Workspace
 
@@ -286,3 +289,85 @@ def src_hypotheses(spark, folder):
     lines = readers.lines(spark, written(p.select("p_partkey", value.alias("value")), "hypotheses", "p_partkey", "value"))
     first = table(spark, folder, "part").agg(F.min("p_partkey").alias("m")).first()["m"]
     return cs.hypothesis_lines(lines, "line").select((F.col("number") - first).alias("number"), "text")
+
+
+def _put_json(spark: SparkSession, path: str, rows: list[dict]) -> None:
+    put(spark, path, json.dumps(rows).encode())
+
+
+def _games(spark: SparkSession, folder: str) -> str:
+    """A database of a game per nation: a player with points and rebounds, and the region as the team."""
+    where = folder_of(spark, "games")
+    teams = {r["r_regionkey"]: r["r_name"] for r in table(spark, folder, "region").collect()}
+    frames: dict[str, list] = {n: [] for n in ("player_labels", "team_labels", "player_alignments", "team_alignments", "player_evidence", "team_evidence", "player_to_reports", "team_to_reports", "reports_table")}
+    for r in sorted(nations(spark, folder)):
+        game, player, team = r["n_nationkey"], r["n_name"].title(), teams[r["n_regionkey"]]
+        text = f"{player} had {game + 3} points, {game} rebounds. {team} won {game + 90} to 80."
+        at = lambda s, after=0: [text.index(s, after), text.index(s, after) + len(s)]
+        points, reb = at(f"{game + 3} points")[0], at(f"{game} rebounds")[0]
+        frames["player_labels"].append({"Game ID": game, "Player Name": player, "Points": f"{game + 3}", "Rebounds": f"{game}" if game else ""})
+        frames["player_alignments"].append({"Game ID": game, "Player Name": player, "Name_Matched": at(player), "Points": [[points, points + len(str(game + 3))]], "Rebounds": [[reb, reb + len(str(game))]]})
+        frames["team_labels"].append({"Game ID": game, "Team Name": team, "Wins": f"{game + 90}"})
+        frames["team_alignments"].append({"Game ID": game, "Team Name": team, "Name_Matched": at(team), "Wins": [at(f"{game + 90} to")[0], at(f"{game + 90} to")[0] + len(str(game + 90))]})
+        frames["player_evidence"].append({"Player Name": player, "born": 1950 + game})
+        frames["player_to_reports"].append({"Player Name": player, "Game ID": game})
+        frames["team_to_reports"].append({"Team Name": team, "Game ID": game})
+        frames["reports_table"].append({"Game ID": game, "Report": text})
+    frames["team_evidence"] = [{"Team Name": t, "name": t.lower(), "key": k} for k, t in teams.items()]
+    for split in ("train", "test"):
+        for n, rows in frames.items():
+            _put_json(spark, f"{where}/{split}/{n}.json", rows)
+    return where
+
+
+@query("""select n_nationkey as game, array_to_string([upper(w[1]) || lower(w[2:]) for w in string_split(n_name, ' ')], ' ') as name, (n_nationkey + 3) || '' as points, case when n_nationkey > 0 then n_nationkey || '' else '' end as rebounds from nation""")
+def db_players(spark, folder):
+    """The latent table of players of a loaded database, by its labels."""
+    got = TextScan("reports.Player").run(databases.games_database(spark, _games(spark, folder), "test"))
+    return got.select(F.col("Game ID").alias("game"), "name", cell_text(F.col("Points")).alias("points"), cell_text(F.col("Rebounds")).alias("rebounds"))
+
+
+@query("""select n_nationkey - (select max(n_nationkey) from nation) - 1 as game, lower(r_name) as name, (n_nationkey + 90) || '' as wins, r_regionkey as key from nation join region on r_regionkey = n_regionkey""")
+def db_team_stats(spark, folder):
+    """Statistics of the training split with the evidence of the teams, under their short names."""
+    c = databases.games_database(spark, _games(spark, folder), "test")
+    got = databases.join_evidence(c.get("team_stats").df, [(c.get("team_info").df, "name")])
+    return got.select(F.col("Game ID").alias("game"), "name", F.col("Wins").alias("wins"), "key")
+
+
+@query("""select n_nationkey as index, 'Politics' as tab, n_name as name, (1800 + n_nationkey) || '' as fact from nation union all select n_nationkey, 'Geography', n_name, 'R' || n_regionkey from nation""")
+def db_facts(spark, folder):
+    """Two latent tables of one collection whose reports agree, and an error where they don't."""
+    where = folder_of(spark, "facts")
+    for name, column in (("countries-Politics", "founded"), ("countries-Geography", "region")):
+        labels, normed, places, reports = [], [], [], []
+        for r in sorted(nations(spark, folder)):
+            n, country = r["n_nationkey"], r["n_name"]
+            text, value = f"{country} of {1800 + n} lies in R{r['n_regionkey']}.", f"{1800 + n}" if column == "founded" else f"R{r['n_regionkey']}"
+            labels.append({"index": n, "name": country, column: value})
+            normed.append({"index": n, "name": country, column: value})
+            places.append({"index": n, "name": [[0, len(country)]], column: [[text.rindex(value), text.rindex(value) + len(value)]]})
+            reports.append({"index": n, "text": text})
+        for split in ("train", "test", "bad"):
+            some = [*reports[:-1], {"index": -1, "text": "another"}] if split == "bad" and column == "region" else reports
+            for part, rows in (("labels", labels), ("normed", normed), ("alignment", places), ("reports", some)):
+                _put_json(spark, f"{where}/{split}/{name}-{part}.json", rows)
+    names = ["countries-Politics", "countries-Geography"]
+    try:
+        databases.facts_database(spark, where, "bad", names)
+        raise AssertionError("differing reports were taken")
+    except ValueError:
+        pass
+    c = databases.facts_database(spark, where, "test", names)
+    parts = [TextScan(f"countries_reports.{t}").run(c).select(F.col("index").cast("long").alias("index"), F.lit(t).alias("tab"), F.upper(cell_text(F.col("name"))).alias("name"), F.upper(cell_text(F.col(a))).alias("fact")) for t, a in (("Politics", "founded"), ("Geography", "region"))]
+    return databases.union_evidence(parts)
+
+
+@query("""select p_partkey, cast(y as int) as year, case when y < 1952 + p_size then 'Hawks' else 'Bulls' end as team from part, unnest(range(1950 + p_size, 1954 + p_size)) t(y)""")
+def src_teams_by_year(spark, folder):
+    """Teams of each year out of numbered fields."""
+    size = F.col("p_size").cast("int")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    fields = F.create_map(F.lit("team1"), F.lit("[[Atlanta|x]]"), F.lit("coach_team1"), F.lit("→[[Hawks|Atlanta Hawks]]"), F.lit("coach_team2"), F.lit("Bulls"), F.lit("years1"), text("", size + 1950, "–", size + 1951), F.lit("years2"), text("{{nbay|", size + 1952, "–", size + 1953, "}}"), F.lit("coach_team3"), F.lit("None"))
+    p = table(spark, folder, "part")
+    return p.select("p_partkey", F.explode(readers.teams_by_year(fields, 2020)).alias("x")).select("p_partkey", "x.year", "x.team")

@@ -284,8 +284,8 @@ def prompt_build(spark, folder):
 @query("select lang, cast(sum(len([w for w in string_split_regex(coalesce(text, ''), '[ \\t\\n\\r\\f\\v]+') if w <> ''])) * 5 as bigint) as dollars_e7 from documents group by lang")
 def cost_estimate(spark, folder):
     """Price of reading the documents at 0.0005 dollars a thousand words, in ten-millionths of a dollar."""
-    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r\\f\\x0B]+"), lambda w: w != ""))
-    return table(spark, folder, "documents").groupBy("lang").agg((F.sum(words) * 5).alias("dollars_e7"))
+    dollars = F.sum(tabletext.cost([F.col("text")], [], 0.0005, 0.0015))
+    return table(spark, folder, "documents").groupBy("lang").agg(F.round(dollars * 1e7).cast("long").alias("dollars_e7"))
 
 
 @query("""select lang, doc_id from (select lang, doc_id, row_number() over (partition by lang order by ('0x' || substring(md5(doc_id || '|11'), 1, 8))::bigint, doc_id) as rn from documents) where rn <= 3""")

@@ -203,6 +203,20 @@ def years(text: Column, open_end: int) -> Column:
     return F.when(first.isNotNull() & (second >= first), F.sequence(first, second)).otherwise(F.array().cast("array<int>"))
 
 
+def teams_by_year(fields: Column, open_end: int) -> Column:
+    """array<struct<year, team>> of an infobox's fields (map): `team1` with `years1` and on, or `coach_team1` where there is one; links and arrows are taken off, and a team without readable years is left out."""
+    names = F.map_keys(fields)
+    prefix = F.when(F.exists(names, lambda k: k.startswith("coach_team")), "coach_team").otherwise("team")
+    mine = F.array_sort(F.filter(names, lambda k: k.startswith(prefix) & F.substring(k, F.length(prefix) + 1, F.length(k)).rlike("^[0-9]*$")))
+
+    def one(k: Column) -> Column:
+        span = F.coalesce(F.try_element_at(fields, F.concat(F.lit("years"), F.substring(k, F.length(prefix) + 1, F.length(k)))), F.lit(""))
+        team = F.trim(F.regexp_replace(F.split_part(F.regexp_replace(F.try_element_at(fields, k), r"\[\[|\]\]", ""), F.lit("|"), F.lit(1)), "→", ""))
+        return F.transform(years(span, open_end), lambda y: F.struct(y.alias("year"), team.alias("team")))
+
+    return F.array_sort(F.flatten(F.transform(mine, one)))
+
+
 def infer_view(rows: DataFrame, key: str) -> tuple[bool, str | None]:
     """Whether a table has several rows per document, and the column that tells them apart best: the most values distinct within a document, the first among equals."""
     columns = [c for c in rows.columns if c != key]
