@@ -25,6 +25,23 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> D
     return kept.withColumn("__part", part).join(F.broadcast(offsets), "__part").select(*df.columns, (F.col("__off") + at + 1).alias(name))
 
 
+def group_rank(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str = "rank", size: str | None = None) -> DataFrame:
+    """df with a 1-based rank within its group in `order` (break ties in it), and the group's size if a name is given for it.
+
+    One order of all rows by group gives the ranks, so that a group of a third of all rows is spread over as
+    many tasks as it needs; only each group's first rank and size are joined to it.
+    """
+    ranked = global_rank(df, [*[F.col(g).asc_nulls_first() for g in group], *order], "__all")
+    firsts = ranked.groupBy(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)]).agg(F.min("__all").alias("__first"), F.count("*").alias("__size"))
+    same = [F.col(g).eqNullSafe(F.col(f"__g{i}")) for i, g in enumerate(group)]
+    return ranked.join(firsts, same).select(*df.columns, (F.col("__all") - F.col("__first") + 1).alias(name), *([F.col("__size").alias(size)] if size else []))
+
+
+def rank_buckets(df: DataFrame, group: Sequence[str], order: Sequence[Column], size: int, name: str = "bucket") -> DataFrame:
+    """df with a bucket of `size` rows of its group by descending order: 0 holds the last ones."""
+    return group_rank(df, group, order, "__r", "__n").withColumn(name, F.floor((F.col("__n") - F.col("__r")) / size)).drop("__r", "__n")
+
+
 def hash_share(key: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on key and seed alone; md5, so other engines can repeat it."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))).cast("binary")), 1, 8), 16, 10).cast("double") / float(1 << 32)
@@ -52,5 +69,4 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column],
 
 def chunk(df: DataFrame, group: Sequence[str], key: str, size: int, seed: int = 0) -> DataFrame:
     """df with `chunk`: the rows of a group in seeded order, `size` at a time."""
-    order = Window.partitionBy(*group).orderBy(hash_share(F.col(key), seed), F.col(key))
-    return df.withColumn("chunk", F.floor((F.row_number().over(order) - 1) / size))
+    return group_rank(df, group, [hash_share(F.col(key), seed), F.col(key)], "__r").withColumn("chunk", F.floor((F.col("__r") - 1) / size)).drop("__r")

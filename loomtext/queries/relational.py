@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from loomtext.functions.ids import kb_id
 from loomtext.operators.closure import transitive_hull
 from loomtext.operators.nesting import dependent, group_into_tables, nest_lookup, nest_lookup_any, upsert
-from loomtext.operators.ranking import chunk, global_rank, split_name, top_per_group, weighted_sample
+from loomtext.operators.ranking import chunk, global_rank, group_rank, rank_buckets, split_name, top_per_group, weighted_sample
 from loomtext.plans.catalog import Catalog
 from loomtext.plans.nodes import Join, Project, Select
 from loomtext.queries.tables import table
@@ -200,9 +200,7 @@ def agg_power_weight(spark, folder):
 select lang, doc_id, cast(floor((n - 1 - pos) / 50) as bigint) as bucket from r""")
 def win_rank_bucket(spark, folder):
     d = table(spark, folder, "documents").select("lang", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("len"))
-    w = Window.partitionBy("lang")
-    pos = F.row_number().over(w.orderBy("len", "doc_id")) - 1
-    return d.select("lang", "doc_id", F.floor((F.count("*").over(w) - 1 - pos) / 50).alias("bucket"))
+    return rank_buckets(d, ["lang"], [F.col("len"), F.col("doc_id")], 50).select("lang", "doc_id", "bucket")
 
 
 @query("select l_orderkey, l_linenumber, l_partkey, cast(coalesce(sum(length(l_returnflag || l_linestatus) + 1) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice rows between unbounded preceding and 1 preceding), 0) as bigint) as start_at from lineitem")
@@ -328,6 +326,7 @@ def zero_filled_counts(spark, folder):
 
 @query("select p_brand, p_partkey, row_number() over (partition by p_brand order by p_partkey) - 1 as row_id from part")
 def row_ids_per_table(spark, folder):
-    return table(spark, folder, "part").select("p_brand", "p_partkey", (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long").alias("row_id"))
+    p = table(spark, folder, "part").select("p_brand", "p_partkey")
+    return group_rank(p, ["p_brand"], [F.col("p_partkey")]).select("p_brand", "p_partkey", (F.col("rank") - 1).alias("row_id"))
 
 
