@@ -63,3 +63,53 @@ def test_alignment(spark):
     c = spark.createDataFrame([(1, 13, 19, "PTS"), (1, 42, 49, "AST")], "d int, start int, end int, column string")
     got = {(r["d"], r["value"]): (r["name"], r["column"]) for r in cs.align_values(v, n, c, "d").collect()}
     assert got == {(1, "25"): ("Ann", "PTS"), (1, "3"): ("Bob", "AST"), (2, "9"): (None, None)}
+
+
+def test_names_and_terms(spark):
+    from loomtext.operators.wikidata import names_of, value_text
+
+    ids = spark.createDataFrame([("Q1",), ("Q2",), ("Q3",)], "id string")
+    labels = spark.createDataFrame([("Q1", "one"), ("Q1", "one"), ("Q2", None)], "id string, label string")
+    aliases = spark.createDataFrame([("Q1", ["uno", "eins"]), ("Q2", [None, "zwei"])], "id string, aliases array<string>")
+    assert {r["id"]: (r["label"], r["term"]) for r in names_of(ids, labels, aliases).collect()} == {"Q1": ("one", "one"), "Q2": ("Q2", "Q2"), "Q3": ("Q3", "Q3")}
+    seen = set()
+    for seed in range(12):
+        got = {r["id"]: r["term"] for r in names_of(ids, labels, aliases, seed).collect()}
+        assert got["Q1"] in ("one", "uno", "eins") and got["Q2"] in ("Q2", "zwei") and got["Q3"] == "Q3"
+        seen.add(got["Q1"])
+    assert len(seen) > 1
+    values = spark.createDataFrame([("wikibase-entityid", '{"id": "Q1"}'), ("time", '{"time": "+1990-05-00T00:00:00Z"}'), ("string", "x")], "kind string, value string")
+    got = {r["kind"]: r["text"] for r in value_text(values, labels, "rand_term", aliases, 1).collect()}
+    assert got["wikibase-entityid"] in ("one", "uno", "eins") and got["time"] == "May 1990" and got["string"] == "x"
+
+
+def test_cut_out_names(spark):
+    df = spark.range(400).select("id", F.array(F.lit("a"), F.lit("b")).alias("n"))
+    got = df.select("n", cs.cut_out(F.col("n"), F.col("id"), 0.25, 3).alias("c")).collect()
+    lost = sum(x is None for r in got for x in r["c"])
+    assert all(x in (None, y) for r in got for x, y in zip(r["c"], r["n"])) and 140 < lost < 260
+    assert all(r["c"] == r["n"] for r in df.select("n", cs.cut_out(F.col("n"), F.col("id"), 0.0, 3).alias("c")).collect())
+
+
+def test_candidates_do_not_depend_on_others(spark):
+    rows = [(f"t{i}", ["x"], 0) for i in range(3000)] + [("lone", ["y"], 0), ("none", None, 0)]
+    df = spark.createDataFrame(rows, "k string, types array<string>, split int")
+    got = {r["k"]: r["other"] for r in cs.confusion_texts(df, "k", "types", "split", 1).collect()}
+    assert len(got) == 3002 and got["lone"] is None and got["none"] is None
+    assert all(v is not None and v != k for k, v in got.items() if k.startswith("t"))
+
+
+def test_group_ranks_with_null_groups(spark):
+    from loomtext.operators.ranking import group_rank
+
+    rows = [(None, 3), (None, 1), ("a", 2), ("a", 9), ("a", 5)]
+    got = {(r["g"], r["v"]): (r["rank"], r["n"]) for r in group_rank(spark.createDataFrame(rows, "g string, v int"), ["g"], [F.col("v")], size="n").collect()}
+    assert got == {(None, 1): (1, 2), (None, 3): (2, 2), ("a", 2): (1, 3), ("a", 5): (2, 3), ("a", 9): (3, 3)}
+
+
+def test_entities_are_parsed_once_and_odd_ones_kept(spark):
+    from loomtext.operators.wikidata import shred_entities
+
+    df = spark.createDataFrame([('{"id": "Q1", "labels": {"en": {"value": "x"}}, "claims": []}',), ('{"id": "Q2", "aliases": {}, "claims": {"P31": [{"mainsnak": {"datatype": "wikibase-item", "datavalue": {"type": "t", "value": {"id": "Q5"}}}, "rank": "normal"}]}}',)], "e string")
+    got = {r["wikidata_id"]: r for r in shred_entities(df, "e").collect()}
+    assert got["Q1"]["label"] == "x" and got["Q1"]["types"] == [] and got["Q2"]["types"] == ["Q5"] and got["Q2"]["aliases"] == []
