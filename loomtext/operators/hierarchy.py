@@ -195,32 +195,41 @@ def _joined(edges: DataFrame, work: Workspace, turn: int) -> DataFrame:
 def cycle_nodes(edges: DataFrame, work: Workspace) -> DataFrame:
     """(id): the nodes on cycles of links (a, b), each link once. Null ends are left out."""
     start = edges.where("a is not null and b is not null").select(F.when(F.col("a") == F.col("b"), "loop").otherwise("edge").alias("kind"), "a", "b", F.lit(None).cast("string").alias("tag"))
-    table, n = work.measure(start, "links", size=F.col("kind") == "edge")
-    tables, found, turn = [table], [], 0
-    while n["size"]:
+    loops, intos, found, turn = [], [], [], 0
+
+    def put(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """The links of a written table and their number; what else it holds is remembered."""
+        table, n = work.measure(df, name, size=F.col("kind") == "edge", loop=F.col("kind") == "loop", into=F.col("kind") == "into")
+        for kind, tables in (("loop", loops), ("into", intos)):
+            if n[kind]:
+                tables.append(table.where(F.col("kind") == kind).select("a", "b", "tag"))
+        return table.where("kind = 'edge'").select("a", "b", "tag"), n["size"]
+
+    def together(tables: list[DataFrame]) -> DataFrame:
+        out = edges.sparkSession.createDataFrame([], "a string, b string, tag string")
+        for t in tables:
+            out = out.unionByName(t)
+        return out
+
+    table, size = put(start, "links")
+    while size:
         before = None
-        while n["size"] and n["size"] != before:
-            before = n["size"]
-            table, n = work.measure(_shrunk(table.where("kind = 'edge'"), turn), "shrunk", size=F.col("kind") == "edge")
-            tables.append(table)
+        while size and size != before:
+            before = size
+            table, size = put(_shrunk(table, turn), "shrunk")
             turn += 1
-        if not n["size"]:
+        if not size:
             break
-        core = table.where("kind = 'edge'").select("a", "b", "tag")
-        joined = work.keep(_joined(core, work, turn), "joined")
+        joined = work.keep(_joined(table, work, turn), "joined")
         found.append(joined.select("id"))
         of_a, of_b = joined.select(F.col("id").alias("a"), F.col("into").alias("ja")), joined.select(F.col("id").alias("b"), F.col("into").alias("jb"))
-        led = core.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ja", "a").alias("a"), F.coalesce("jb", "b").alias("b"), "tag")
-        table, n = work.measure(_settled(led), "core", size=F.col("kind") == "edge")
-        tables.append(table)
-    every = tables[0]
-    for t in tables[1:]:
-        every = every.unionByName(t)
-    loops = every.where("kind = 'loop'")
-    tags, n = work.measure(loops.where("tag is not null").select(F.col("tag").alias("into")).distinct(), "tags", n=F.lit(True))
-    out = loops.select(F.col("a").alias("id"))
+        led = table.join(of_a, "a", "left").join(of_b, "b", "left").select(F.coalesce("ja", "a").alias("a"), F.coalesce("jb", "b").alias("b"), "tag")
+        table, size = put(_settled(led), "core")
+    looped = together(loops)
+    tags, n = work.measure(looped.where("tag is not null").select(F.col("tag").alias("into")).distinct(), "tags", n=F.lit(True))
+    out = looped.select(F.col("a").alias("id"))
     if n["n"]:
-        into, n = work.measure(every.where("kind = 'into'").select(F.col("a").alias("id"), F.col("b").alias("into")), "into", moved=F.lit(True))
+        into, n = work.measure(together(intos).select(F.col("a").alias("id"), F.col("b").alias("into")), "into", moved=F.lit(True))
         while n["moved"]:
             on = into.select(F.col("id").alias("into"), F.col("into").alias("next"))
             into, n = work.measure(into.join(on, "into", "left").select("id", F.coalesce("next", "into").alias("into"), F.col("next").isNotNull().alias("m")), "into", moved=F.col("m"))
