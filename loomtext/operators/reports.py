@@ -29,7 +29,7 @@ class ReportTables:
     def __init__(self, df: DataFrame):
         work = Workspace(df.sparkSession, "reports")
         self.occurrences = work.keep(occurrences(df, "payload", {"file_id": F.col("file_id"), "received_at": F.col("received_at")}), "occurrences")
-        self.objects = work.keep(objects(self.occurrences), "objects")
+        self.objects = objects(self.occurrences, work)
         number = F.coalesce(int_of(_get("report_number")), int_of(_get("id")))
         keys = F.map_keys("scalars")
         is_record = number.isNotNull() & F.array_contains(keys, "text") & (F.array_contains(keys, "revision") | F.array_contains(keys, "mentions") | F.exists("children", lambda c: c["field"] == "mentions"))

@@ -19,13 +19,16 @@ from json.encoder import encode_basestring
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loomtext.workspace import Workspace
+
 _LINK = T.StructType([T.StructField("field", T.StringType()), T.StructField("ordinal", T.IntegerType()), T.StructField("place", T.StringType()), T.StructField("hash", T.BinaryType()), T.StructField("value", T.StringType())])
 _ROW = T.StructType([
-    T.StructField("at", T.IntegerType()), T.StructField("hash", T.BinaryType()), T.StructField("root", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("new", T.BooleanType()),
+    T.StructField("at", T.IntegerType()), T.StructField("hash", T.BinaryType()), T.StructField("root", T.IntegerType()), T.StructField("parent", T.IntegerType()), T.StructField("content", T.LongType()),
     T.StructField("scalars", T.MapType(T.StringType(), T.StringType())), T.StructField("children", T.ArrayType(_LINK)),
 ])
 #: Rows that are handed over at once, and the hashes a task remembers before it starts anew.
@@ -283,7 +286,7 @@ def shred_payload(payload: str | None) -> list[dict] | None:
 
 
 def _batch(kept: pa.RecordBatch, names: list[str], rows: list[tuple]) -> pa.RecordBatch:
-    """Rows (input row, at, hash, root, parent, new, scalars, children) beside the kept columns."""
+    """Rows (input row, at, hash, root, parent, content, scalars, children) beside the kept columns."""
     columns = [kept.column(n).take(pa.array([r[0] for r in rows], pa.int64())) for n in names]
 
     def ends(i: int) -> pa.Array:
@@ -293,29 +296,30 @@ def _batch(kept: pa.RecordBatch, names: list[str], rows: list[tuple]) -> pa.Reco
     scalars = pa.MapArray.from_arrays(ends(6), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string()))
     kinds = (pa.string(), pa.int32(), pa.string(), pa.binary(), pa.string())
     children = pa.ListArray.from_arrays(ends(7), pa.StructArray.from_arrays([pa.array([c[i] for c in links], k) for i, k in enumerate(kinds)], _LINK.names))
-    columns += [pa.array([r[i] for r in rows], k) for i, k in ((1, pa.int32()), (2, pa.binary()), (3, pa.int32()), (4, pa.int32()), (5, pa.bool_()))]
+    columns += [pa.array([r[i] for r in rows], k) for i, k in ((1, pa.int32()), (2, pa.binary()), (3, pa.int32()), (4, pa.int32()), (5, pa.int64()))]
     return pa.RecordBatch.from_arrays([*columns, scalars, children], [*names, *_ROW.names])
 
 
 def occurrences(df: DataFrame, payload: str, keep: dict[str, Column]) -> DataFrame:
-    """(keep..., at, hash, root, parent, new, scalars, children): one row per object of each payload.
+    """(keep..., at, hash, root, parent, content, scalars, children): one row per object of each payload.
 
     `at` is its place in post-order, parent that of the object around it. Scalars and children are
-    given where `new` is true: once in a task for each content, as far as it remembers, and empty elsewhere.
+    given where `content` is a number, unique among all rows: once in a task for each content, as far as it remembers, and empty elsewhere.
     """
     source = df.select(*[c.alias(n) for n, c in keep.items()], F.col(payload).alias("__payload"))
     names = list(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shredder, seen = Shredder(), set()
+        shredder, seen, number = Shredder(), set(), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
             for i, p in enumerate(batch.column("__payload").to_pylist()):
                 for at, (digest, root, parent, scalars, children) in enumerate(shredder.shred(p) or ()):
                     new = digest not in seen
-                    rows.append((i, at, digest, root, parent, new, scalars if new else (), children if new else ()))
+                    rows.append((i, at, digest, root, parent, number if new else None, scalars if new else (), children if new else ()))
                     if new:
                         seen.add(digest)
+                        number += 1
                 if len(rows) >= ROWS:
                     yield _batch(batch, names, rows)
                     rows = []
@@ -327,9 +331,15 @@ def occurrences(df: DataFrame, payload: str, keep: dict[str, Column]) -> DataFra
     return source.mapInArrow(run, T.StructType([*[f for f in source.schema if f.name in keep], *_ROW]))
 
 
-def objects(occ: DataFrame) -> DataFrame:
-    """(hash, scalars, children): each distinct object once."""
-    return occ.where("new").select("hash", "scalars", "children").dropDuplicates(["hash"])
+def objects(occ: DataFrame, work: Workspace | None = None) -> DataFrame:
+    """(hash, scalars, children): each distinct object once, out of written occurrences.
+
+    Tasks have told equal objects apart already; only the hashes meet, and of those that several tasks have, the first is kept.
+    """
+    work = work or Workspace(occ.sparkSession, "objects")
+    have = occ.where("content is not null")
+    again = work.keep(have.groupBy("hash").agg(F.min("content").alias("first"), F.count("*").alias("n")).where("n > 1").select("hash", "first"), "again")
+    return have.join(again, "hash", "left").where("first is null or content = first").select("hash", "scalars", "children")
 
 
 def bridge(objs: DataFrame) -> DataFrame:

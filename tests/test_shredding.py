@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomtext.operators.reports import ReportTables
 from loomtext.operators.shredding import Shredder, bridge, objects, occurrences, shred_payload
+from loomtext.workspace import Workspace
 
 
 def rebuild(nodes):
@@ -107,7 +108,7 @@ def frame(spark, payloads):
 
 def test_objects_once_with_every_occurrence(spark):
     df = frame(spark, ['{"m": [{"v": 1}, {"v": 1}]}', '{"m": [{"v": 1}, {"v": 1}]}', None, "{"])
-    occ = occurrences(df, "payload", {"file_id": F.col("file_id")})
+    occ = Workspace(spark, "t").keep(occurrences(df.repartition(3, "file_id"), "payload", {"file_id": F.col("file_id")}))
     assert occ.count() == 6
     objs = objects(occ)
     assert objs.count() == 2
