@@ -105,31 +105,34 @@ def _text(v: object) -> str:
     return "".join(out)
 
 
-def _has_object(x: list) -> bool:
-    stack = [x]
-    while stack:
-        for v in stack.pop():
-            if type(v) is _Ref:
-                return True
-            if type(v) is list:
-                stack.append(v)
-    return False
+def _holders(x: list) -> set[int]:
+    """Identities of the lists in x, and of x itself, that hold an object at any depth."""
+    lists = [x]
+    for v in lists:
+        lists.extend(u for u in v if type(u) is list)
+    out: set[int] = set()
+    for v in reversed(lists):
+        if any(type(u) is _Ref or (type(u) is list and id(u) in out) for u in v):
+            out.add(id(v))
+    return out
 
 
-def _elements(x: list) -> list[tuple[str, object]]:
+def _elements(x: list, holders: set[int]) -> list[tuple[str, object]]:
     """(place, element) of a list that holds objects; lists within that hold some are entered, others are elements."""
     out: list[tuple[str, object]] = []
-    stack = [("", iter(enumerate(x)))]
+    stack = [iter(enumerate(x))]
+    way: list[str] = []
     while stack:
-        at, each = stack[-1]
-        for i, v in each:
-            place = f"{at}{i}"
-            if type(v) is list and _has_object(v):
-                stack.append((f"{place}/", iter(enumerate(v))))
+        for i, v in stack[-1]:
+            if type(v) is list and id(v) in holders:
+                way.append(f"{i}/")
+                stack.append(iter(enumerate(v)))
                 break
-            out.append((place, v))
+            out.append((f"{''.join(way)}{i}", v))
         else:
             stack.pop()
+            if way:
+                way.pop()
     return out
 
 
@@ -165,9 +168,10 @@ class Shredder:
                 nodes[v][2] = me
                 canon.append(f"o{nodes[v][0].hex()}")
                 continue
-            if kind is list and v and _has_object(v):
+            holders = _holders(v) if kind is list else ()
+            if holders:
                 canon.append("l")
-                for i, (place, x) in enumerate(_elements(v)):
+                for i, (place, x) in enumerate(_elements(v, holders)):
                     if type(x) is _Ref:
                         children.append((name, i, place, nodes[x][0], None))
                         nodes[x][2] = me
@@ -265,7 +269,7 @@ class Shredder:
         if type(top) is _Ref:
             self.nodes[top][1] = 0
         elif type(top) is list:
-            for i, (_, x) in enumerate(_elements(top)):
+            for i, (_, x) in enumerate(_elements(top, _holders(top))):
                 if type(x) is _Ref:
                     self.nodes[x][1] = i
         return self.nodes
