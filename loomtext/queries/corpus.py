@@ -81,8 +81,8 @@ def p2_cells(spark: SparkSession, folder: str) -> DataFrame:
     return each.select("subject_id", "x.attr_id", F.when(~F.col("x.conflict"), F.col("x.value")).alias("value"), "x.conflict")
 
 
-def p2_many(spark: SparkSession, folder: str, copies: int = 50) -> DataFrame:
-    """Thousands of attributes: each fact is put under one of `copies` versions of its attribute, by its subject; per attribute, the subjects that have it and the conflicts."""
+def p2_many(spark: SparkSession, folder: str, copies: int = 20) -> DataFrame:
+    """Hundreds of attributes: each fact is put under one of `copies` versions of its attribute, by its subject; per attribute, the subjects that have it and the conflicts."""
     rows, names = facts(spark, folder)
     number = F.pmod(F.regexp_extract("entity", "([0-9]+)", 1).cast("long"), F.lit(copies))
     many = rows.withColumn("attr", F.concat("attr", F.lit("_"), number.cast("string")))
@@ -216,7 +216,7 @@ SQL = {
  each as (select distinct s, a, single_valued, k, key, v from shown)
  select s as subject_id, a as attr_id, case when single_valued and count(*) > 1 then null when k = 'quantity' then string_agg(v, ',' order by try_cast(key as double)) else string_agg(v, ',' order by v) end as value, single_valued and count(*) > 1 as conflict
  from each group by s, a, single_valued, k""",
-    "p2_many": f"""with {_ANSWERS}, m as (select s, single_valued, key, a || '_' || cast(cast(s[2:] as bigint) % 50 as varchar) as a from keyed where key is not null),
+    "p2_many": f"""with {_ANSWERS}, m as (select s, single_valued, key, a || '_' || cast(cast(s[2:] as bigint) % 20 as varchar) as a from keyed where key is not null),
  n as (select s, a, single_valued and count(distinct key) > 1 as bad from m group by s, a, single_valued)
  select a as attr_id, count(*) as n_subjects, count(*) filter (bad) as n_conflicts from n group by a""",
     "p4_found": f"with {_RECORDS} select report_number, attribute, pos from placed where s is not null and l is not null and coalesce(not (st >= 0 and le >= 0 and st + le <= length(text) and substring(text, st + 1, le) = mention), true)",
