@@ -143,12 +143,15 @@ def _shrunk(edges: DataFrame, turn: int) -> DataFrame:
 
     A link that replaces two at a spliced node has that node as its tag, and their tags go into it.
     """
-    outs = edges.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n_out"), F.min(F.struct("b", "tag")).alias("o"))
-    ins = edges.groupBy(F.col("b").alias("id")).agg(F.count("*").alias("n_in"), F.min(F.struct("a", "tag")).alias("i"))
+    none = lambda x: F.lit(None).cast(f"struct<{x}:string,tag:string>")
+    # both ends of each link in one grouping
+    out = edges.select(F.col("a").alias("id"), F.struct("b", "tag").alias("o"), none("a").alias("i"))
+    ends = out.unionByName(edges.select(F.col("b").alias("id"), none("b").alias("o"), F.struct("a", "tag").alias("i")))
+    degrees = ends.groupBy("id").agg(F.count("o").alias("n_out"), F.count("i").alias("n_in"), F.min("o").alias("o"), F.min("i").alias("i"))
     own = _priority(F.col("id"), turn)
     chain = (F.col("n_out") == 1) & (F.col("n_in") == 1) & (own > _priority(F.col("o.b"), turn)) & (own > _priority(F.col("i.a"), turn))
-    state = F.when(F.col("n_out").isNull() | F.col("n_in").isNull(), "end").when(chain, "chain").otherwise("keep")
-    nodes = outs.join(ins, "id", "full").select("id", state.alias("state"), F.col("o.b").alias("to"), F.col("o.tag").alias("above"), F.col("i.tag").alias("under"))
+    state = F.when((F.col("n_out") == 0) | (F.col("n_in") == 0), "end").when(chain, "chain").otherwise("keep")
+    nodes = degrees.select("id", state.alias("state"), F.col("o.b").alias("to"), F.col("o.tag").alias("above"), F.col("i.tag").alias("under"))
     at_a = nodes.where("state = 'keep'").select(F.col("id").alias("a"))
     at_b = nodes.where("state <> 'end'").select(F.col("id").alias("b"), "state", "to")
     led = F.col("state") == "chain"
