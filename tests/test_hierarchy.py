@@ -1,7 +1,10 @@
+import os
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from loomtext.operators import closure
 from loomtext.operators.closure import transitive_hull
 from loomtext.operators.hierarchy import hierarchy
 
@@ -145,3 +148,45 @@ def test_hull_of_a_long_chain_and_a_cycle(spark):
     assert got == {(f"n{i}", f"n{j}") for i in range(60) for j in range(i + 1, 61)} | {("a", "b"), ("b", "a"), ("a", "a"), ("b", "b")}
     short = transitive_hull(spark.createDataFrame(edges, "node string, parent string"), steps=2).collect()
     assert len(short) == 60 + 59 + 4
+
+
+def test_hull_writes_and_shuffles_links_only(spark):
+    """A tree of long ways with cycles and cross links, whose pairs are many more than its links."""
+    rng = random.Random(3)
+    parents = {f"c{i}": [f"c{i - 1}"] for i in range(1, 300)} | {f"leg{i}": [f"c{rng.randrange(300)}", f"c{rng.randrange(300)}"] for i in range(60)}
+    parents |= {f"r{i}": [f"r{(i + 1) % 20}"] for i in range(20)} | {"c0": ["r3"], "one": ["one"], "r5": ["r6", "top"]}
+    edges = [(a, b) for a, bs in parents.items() for b in bs] * 2
+    root = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(root))
+    hull = transitive_hull(spark.createDataFrame(edges, "node string, parent string"))
+    pairs = [tuple(r) for r in hull.collect()]
+    true = set()
+    for a in parents:
+        stack, seen = [a], set()
+        while stack:
+            new = [p for p in parents.get(stack.pop(), []) if p not in seen]
+            seen.update(new)
+            stack += new
+        true |= {(a, b) for b in seen}
+    assert len(pairs) == len(true) and set(pairs) == true
+    written = [f"{root}/{d}/{t}" for d in set(os.listdir(root)) - before for t in os.listdir(f"{root}/{d}") if not t.startswith(".")]
+    assert sum(spark.read.parquet(t).count() for t in written) <= 2 * len(set(edges)) + 1 < len(pairs) / 50
+    assert "Exchange" not in hull._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hull_with_little_remembered_and_without_links(spark, monkeypatch):
+    rng = random.Random(4)
+    for n, m in ((40, 45), (40, 90), (200, 230)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        monkeypatch.setattr(closure, "BATCH", 7)
+        links = closure.Links(pa.Table.from_batches(closure.numbered(pa.table(dict(zip(("node", "ancestor"), zip(*edges)))))))
+        for kept, steps in ((1 << 20, None), (30, None), (0, None), (0, 3)):
+            monkeypatch.setattr(closure, "KEPT", kept)
+            got = [(r["node"], r["ancestor"]) for part in range(5) for b in links.pairs(links.sources(part, 5), steps) for r in b.to_pylist()]
+            true, front = set(edges), set(edges)
+            for _ in range(n if steps is None else steps - 1):
+                front = {(a, d) for a, b in front for c, d in edges if b == c}
+                true |= front
+            assert len(got) == len(true) and set(got) == true
+    empty = spark.createDataFrame([("a", None)], "node string, parent string")
+    assert transitive_hull(empty).collect() == []
